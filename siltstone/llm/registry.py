@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import key_queries, percentile_queries, term_queries
+from siltstone.llm import key_queries, percentile_queries, term_queries, text_queries
 
-_MODULES = [key_queries, percentile_queries, term_queries]
+_MODULES = [key_queries, percentile_queries, term_queries, text_queries]
 
 
 def queries() -> dict:
