@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,13 +163,16 @@ def _bucket_lookup(bits: int):
         size = sum(s.hash.nbytes() + s.prints.nbytes for s in sealed)
         sizes = np.zeros(n, np.int64)
         sizes[-1:] = size
+        unclaimed = pa.array(claimed == np.iinfo(np.int32).min)
         claimed = pa.array(claimed, mask=claimed == np.iinfo(np.int32).min)
+        # a new key needs no comparison of bytes, so it goes no further
+        keys = pc.if_else(unclaimed, pa.scalar(None, table.schema.field("key").type), table.column("key"))
         out = pa.table(
-            [table.column("key"), table.column("batch"), table.column("record_id"), claimed,
+            [keys, table.column("batch"), table.column("record_id"), claimed,
              pa.array(lookups), pa.array(wrong), pa.array(sizes)],
             names=["key", "batch", "record_id", "claimed", "lookups", "wrong", "sealed_bytes"],
         )
-        return out.filter(pa.compute.not_equal(out.column("batch"), FILES))
+        return out.filter(pc.not_equal(out.column("batch"), FILES))
 
     return run
 
