@@ -26,13 +26,13 @@ from siltstone.errors import InvalidInput
 MAX_GRAMS, MAX_CHARS = 2_000_000, 50_000_000
 
 #: Soft hyphen, zero-width space, word joiner, zero-width no-break space (fixed values).
-INVISIBLE = "­​⁠﻿"
+INVISIBLE = "\u00ad\u200b\u2060\ufeff"
 _DELETE = {ord(c): None for c in INVISIBLE}
 
 #: A word where it stands: letters and digits, with marks and invisible characters
 #: among them, across a hyphen at a line end if a letter follows.
-_HYPHENS = "-‐‑­"
-_LINE_END = rf"[{_HYPHENS}][{INVISIBLE}]*[^\S\n\r  ]*(?:\r\n|[\n\r  \u0085])[\s{INVISIBLE}]*(?=\p{{L}})"
+_HYPHENS = "-\u2010\u2011\u00ad"
+_LINE_END = rf"[{_HYPHENS}][{INVISIBLE}]*[^\S\n\r\u2028\u2029]*(?:\r\n|[\n\r\u2028\u2029\u0085])[\s{INVISIBLE}]*(?=\p{{L}})"
 WORD = rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]|(?<=[\p{{L}}\p{{M}}{INVISIBLE}]){_LINE_END})*"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

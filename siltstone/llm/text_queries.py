@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import encoding, leakage
+from siltstone.llm import encoding, leakage, sentences
 from siltstone.sources.shared import read_table
 
 
@@ -40,10 +40,16 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", F.size("items").alias("n_items"), "clean_text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every document with their places."""
+    return sentences.sentence_units(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
+    "p8_found": p8_found,
 }
 ORACLE_SQL: dict[str, str] = {}
