@@ -8,8 +8,11 @@ no changes. Other columns are carried along unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -150,20 +153,39 @@ def key_ranges(tables: DataFrame, by: str = "file_id") -> DataFrame:
     )
 
 
+#: Ranges that are tested in a plain expression; more are searched by bisection.
+_FEW_RANGES = 32
+
+
 def reclaim_deletes(merged: DataFrame, protected: DataFrame) -> DataFrame:
     """``merged`` without the deletes whose key lies in no protected file range.
 
-    ``protected`` has smallest_key and largest_key of the files outside a merge, a
-    manifest's few rows: they are collected, joined to disjoint ranges and tested
-    in one pass without a join.
+    ``protected`` has smallest_key and largest_key of the files outside a merge, the
+    rows of a manifest: they are collected and joined to disjoint ranges, and each
+    delete is looked up in them, without a join. Puts pass untouched.
     """
     ranges = disjoint_ranges(
         [(bytes(r[0]), bytes(r[1])) for r in protected.select("smallest_key", "largest_key").collect()]
     )
-    covered = F.lit(False)
-    for lo, hi in ranges:
-        covered = covered | F.col("key").between(F.lit(lo), F.lit(hi))
-    return merged.where((F.col("op") == PUT) | covered)
+    if len(ranges) <= _FEW_RANGES:
+        covered = F.lit(False)
+        for lo, hi in ranges:
+            covered = covered | F.col("key").between(F.lit(lo), F.lit(hi))
+        return merged.where((F.col("op") == PUT) | covered)
+    shared = merged.sparkSession.sparkContext.broadcast(ranges)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = [lo for lo, _ in shared.value]
+        highs = [hi for _, hi in shared.value]
+        for batch in batches:
+            found = []
+            for key in batch.column("key").to_pylist():
+                k = bisect.bisect_right(lows, key) - 1
+                found.append(k >= 0 and key <= highs[k])
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    deletes = merged.where(F.col("op") == DELETE)
+    return merged.where(F.col("op") == PUT).unionByName(deletes.mapInArrow(keep, deletes.schema))
 
 
 def disjoint_ranges(ranges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
