@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 
 from siltstone.errors import InvalidInput
 from siltstone.functions.bytes import frame_bytes, starts_with
+from siltstone.sources.shared import stacked
 
 PUT, DELETE = 1, 2
 #: Largest payload of one operation and largest transaction, in bytes.
@@ -102,7 +103,7 @@ def committed_only(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Changes of committed transactions and those written outside any."""
     done = commits.where(F.col("txn_id").isNotNull()).select("txn_id").distinct()
     within = changes.where(F.col("txn_id").isNotNull()).join(done, "txn_id", "left_semi")
-    return changes.where(F.col("txn_id").isNull()).unionByName(within.select(*changes.columns))
+    return stacked(changes.where(F.col("txn_id").isNull()), within.select(*changes.columns))
 
 
 def batch_to_changes(batches: DataFrame, first_lsn: int = 1) -> DataFrame:
@@ -138,10 +139,10 @@ def flush_image(changes: DataFrame) -> DataFrame:
 
 def coverage_gaps(changes: DataFrame, image: DataFrame) -> DataFrame:
     """Keys whose holding version and image differ; no rows for a right flush."""
-    cols = ["key", "lsn", "op"]
-    want = flush_image(changes).select(*cols)
-    have = image.select(*cols)
-    return want.exceptAll(have).unionByName(have.exceptAll(want))
+    want = flush_image(changes).select("key", "lsn", "op", F.lit(1).alias("d"))
+    have = image.select("key", "lsn", "op", F.lit(-1).alias("d"))
+    sums = stacked(want, have).groupBy("key", "lsn", "op").agg(F.sum("d").alias("d"))
+    return sums.where(F.col("d") != 0).select("key", "lsn", "op")
 
 
 def key_ranges(tables: DataFrame, by: str = "file_id") -> DataFrame:
@@ -185,7 +186,7 @@ def reclaim_deletes(merged: DataFrame, protected: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(found, pa.bool_()))
 
     deletes = merged.where(F.col("op") == DELETE)
-    return merged.where(F.col("op") == PUT).unionByName(deletes.mapInArrow(keep, deletes.schema))
+    return stacked(merged.where(F.col("op") == PUT), deletes.mapInArrow(keep, deletes.schema))
 
 
 def disjoint_ranges(ranges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:

@@ -16,6 +16,7 @@ from siltstone.errors import Corrupted, InvalidInput
 from siltstone.functions import bm25
 from siltstone.functions.bm25 import Bm25Config
 from siltstone.functions.text import checked_terms, tokens
+from siltstone.sources.shared import stacked
 
 MAX_LIMIT = 1000
 #: Limits of one batch of documents.
@@ -216,7 +217,7 @@ def apply_documents(documents: DataFrame, changes: DataFrame) -> DataFrame:
         changes.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select("doc_id", "document")
     )
     kept = documents.select("doc_id", "document").join(last.select("doc_id"), "doc_id", "left_anti")
-    return kept.unionByName(last.where(F.col("document").isNotNull()))
+    return stacked(kept, last.where(F.col("document").isNotNull()))
 
 
 def apply_delta(index: Index, changes: DataFrame) -> Index:
@@ -229,8 +230,8 @@ def apply_delta(index: Index, changes: DataFrame) -> Index:
     ids = last.select("doc_id")
     return Index(
         apply_documents(index.documents, changes),
-        index.lengths.join(ids, "doc_id", "left_anti").unionByName(fresh.lengths),
-        index.postings.join(ids, "doc_id", "left_anti").unionByName(fresh.postings),
+        stacked(index.lengths.join(ids, "doc_id", "left_anti"), fresh.lengths),
+        stacked(index.postings.join(ids, "doc_id", "left_anti"), fresh.postings),
     )
 
 
@@ -241,7 +242,7 @@ def frequency_delta(index: Index, changes: DataFrame) -> DataFrame:
     old = index.postings.join(ids, "doc_id", "left_semi").select("term", F.lit(-1).alias("d"))
     new = after.postings.join(ids, "doc_id", "left_semi").select("term", F.lit(1).alias("d"))
     return (
-        old.unionByName(new).groupBy("term").agg(F.sum("d").alias("delta")).where(F.col("delta") != 0)
+        stacked(old, new).groupBy("term").agg(F.sum("d").alias("delta")).where(F.col("delta") != 0)
     )
 
 
@@ -264,4 +265,4 @@ def violations(index: Index) -> DataFrame:
         index.documents.groupBy("doc_id").count().where("count > 1")
         .select(F.lit("document").alias("rule"), "doc_id", F.lit(None).cast("string").alias("term"))
     )
-    return wrong.unionByName(lengths).unionByName(doubled)
+    return stacked(wrong, lengths, doubled)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.sources.shared import PublishedTable
+from siltstone.sources.shared import PublishedTable, stacked
 
 PUT, DELETE = 1, 2
 
@@ -113,7 +113,7 @@ def committed_changes(changes: DataFrame, commits: DataFrame | None) -> DataFram
         return changes
     done = commits.where(F.col("txn_id").isNotNull()).select("txn_id").distinct()
     within = changes.where(F.col("txn_id").isNotNull()).join(done, "txn_id", "left_semi")
-    return changes.where(F.col("txn_id").isNull()).unionByName(within.select(*changes.columns))
+    return stacked(changes.where(F.col("txn_id").isNull()), within.select(*changes.columns))
 
 
 def bucket_count(rows: int, bucket_rows: int = 500_000) -> int:

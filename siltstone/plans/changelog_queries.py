@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.bytes import bloom_contains
 from siltstone.operators import changelog as cl
 from siltstone.operators.changelog import Bound
-from siltstone.sources.shared import read_table
+from siltstone.sources.shared import read_table, stacked
 
 #: A sequence number in the middle of the log, and key bounds that split the keys.
 AS_OF = 1_010_000
@@ -137,7 +137,7 @@ def kv_tie_delete_wins(spark, sf_dir):
     """Every change is followed by a delete of equal lsn: the delete holds for every key."""
     log = _log(spark, sf_dir)
     deletes = log.withColumn("op", F.lit(2).cast("byte")).withColumn("value", F.lit(None).cast("binary"))
-    return cl.flush_image(log.unionByName(deletes)).select(
+    return cl.flush_image(stacked(log, deletes)).select(
         F.hex("key").alias("key_hex"), "lsn", F.col("op").cast("int").alias("op")
     )
 

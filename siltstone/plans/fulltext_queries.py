@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.bm25 import Bm25Config
 from siltstone.functions.text import query_terms, tokens
 from siltstone.operators import fulltext as ft
-from siltstone.sources.shared import read_table
+from siltstone.sources.shared import read_table, stacked
 
 COMMON, PAIR, RARE, MISSING = ["the"], ["the", "bill"], ["pilots", "<|endoftext|>"], ["qzxqzx"]
 
@@ -216,7 +216,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") + 1_000_000_000).alias("pos"), pad("doc_id").alias("doc_id"),
         F.lit(None).cast("string").alias("document"),
     )
-    return replaced.unionByName(deleted)
+    return stacked(replaced, deleted)
 
 
 _CHANGED = """
@@ -282,7 +282,7 @@ def fts_put_batch_last_wins(spark, sf_dir):
     docs = _docs(spark, sf_dir).where(F.col("document").isNotNull())
     first = docs.select(F.lit(0).alias("pos"), "doc_id", F.lit("first text").alias("document"))
     second = docs.select(F.lit(1).alias("pos"), "doc_id", F.concat(F.lit("last "), "document").alias("document"))
-    after = ft.apply_documents(docs, first.unionByName(second))
+    after = ft.apply_documents(docs, stacked(first, second))
     return after.select("doc_id", F.size(tokens("document")).cast("long").alias("doc_len"))
 
 

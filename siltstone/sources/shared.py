@@ -35,6 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of all frames, matched by column name.
+
+    Spark 4.1 takes a union of equally partitioned inputs for partitioned alike and
+    may then reuse one exchange for several of them, after which it no longer is:
+    groups come out in parts. The session is told not to rely on it.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from siltstone.operators import changelog as cl
-from siltstone.sources.shared import PublishedTable
+from siltstone.sources.shared import PublishedTable, stacked
 
 
 def read_changes(spark: SparkSession, folder: str, schema, files_per_trigger: int = 64) -> DataFrame:
@@ -31,7 +31,7 @@ def maintain(changes: DataFrame, table: PublishedTable, checkpoint: str) -> Stre
         if now is not None and now.get("batch", -1) >= number:
             return
         rows = batch.select("key", "lsn", "op", "value")
-        state = rows if now is None else table.read().unionByName(rows)
+        state = rows if now is None else stacked(table.read(), rows)
         table.publish(cl.latest(state, keep_deletes=True), batch=number)
 
     return (
