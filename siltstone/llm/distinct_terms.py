@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import bm25
 from siltstone.functions.text import tokens
 from siltstone.llm.terms import distinct_records
-from siltstone.sources.shared import checkpointed
+from siltstone.sources.shared import checkpointed, stacked
 
 #: No more terms than this can hold more than 1/HEAVY_TERMS of all (record, term)
 #: rows each, so the table of those that do is bounded whatever the data.
@@ -65,7 +65,7 @@ def with_df(weights: DataFrame) -> DataFrame:
         .drop("df")
         .join(counts.where(F.col("df") <= least), "term")
     )
-    return marked.where(F.col("df").isNotNull()).unionByName(rest)
+    return stacked(marked.where(F.col("df").isNotNull()), rest)
 
 
 def record_terms(hits: DataFrame, window: int = 4) -> tuple[DataFrame, int, int]:

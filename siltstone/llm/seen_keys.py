@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.sources.shared import checkpointed
+from siltstone.sources.shared import checkpointed, stacked
 
 #: The batch of keys that stood in sealed files before the first record.
 FILES = -1
@@ -194,7 +194,7 @@ def batch_keys(records: DataFrame, files: DataFrame, batch_rows: int) -> DataFra
         .distinct()
         .select("key", F.lit(FILES).alias("batch"), F.lit(None).cast("long").alias("record_id"))
     )
-    return own.unionByName(sealed)
+    return stacked(own, sealed)
 
 
 def lookup(
@@ -234,7 +234,7 @@ def new_keys(looked: DataFrame, keys: DataFrame) -> DataFrame:
         .agg(F.min("other").alias("first"))
         .where(F.col("first") == F.col("batch"))
     )
-    return looked.where(F.col("claimed").isNull()).select("record_id").unionByName(first.select("record_id"))
+    return stacked(looked.where(F.col("claimed").isNull()).select("record_id"), first.select("record_id"))
 
 
 def seen_before(records: DataFrame, files: DataFrame, **settings) -> DataFrame:
