@@ -15,17 +15,23 @@ MAX_TERMS = 32
 def tokens(text: Column | str) -> Column:
     """Array of a text's tokens in order, each lower-cased character by character.
 
-    Tokens are cut before lower-casing, since lower-casing can add combining marks,
-    which are no token characters. Σ is mapped first: the JVM would make it ς at a
-    word's end, which depends on its neighbours. A null text gives null, an empty
-    one or one without token an empty array.
+    Lower-casing the whole text first gives the same tokens, with two exceptions that
+    are seen to: the JVM would make Σ at a word's end ς, which depends on its
+    neighbours, so it is mapped before; and İ gains a combining dot, which is no token
+    character, so texts with it are cut before lower-casing. A null text gives null,
+    an empty one or one without token an empty array.
     """
     text = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), fold)
+    cut = F.transform(_cut(text), fold)
+    return F.when(F.contains(text, F.lit("İ")), cut).otherwise(_cut(fold(text)))
+
+
+def _cut(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
 def fold(token: Column) -> Column:
-    """One token lower-cased character by character."""
+    """A string without İ lower-cased character by character, or any one token."""
     return F.lower(F.translate(token, "Σ", "σ"))
 
 

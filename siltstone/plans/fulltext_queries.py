@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.bm25 import Bm25Config
 from siltstone.functions.text import query_terms, tokens
 from siltstone.operators import fulltext as ft
-from siltstone.sources.shared import read_table, stacked
+from siltstone.sources.shared import read_table, spread, stacked
 
 COMMON, PAIR, RARE, MISSING = ["the"], ["the", "bill"], ["pilots", "<|endoftext|>"], ["qzxqzx"]
 
@@ -51,7 +51,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("doc_id"), F.col("text").alias("document")
     )
 

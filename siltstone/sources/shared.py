@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.errors import StorageError
 
 
+#: Bytes of a table that fill one split.
+SPLIT_BYTES = 128 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
@@ -53,6 +57,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan with at least one task per core.
+
+    Where a table's few files make fewer splits than the session has cores, its rows
+    are dealt out once, for work that costs more than that shuffle. A table with
+    enough files or bytes is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = 0
+    for path in files:
+        jvm, fs = _fs(spark, path)
+        size += fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(path)).getLen()
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
