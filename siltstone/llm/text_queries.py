@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import encoding, leakage, sentences
-from siltstone.sources.shared import read_table
+from siltstone.sources.shared import read_table, spread
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return encoding.encode_texts(read_table(spark, sf_dir, "documents"))
+    return encoding.encode_texts(_documents(spark, sf_dir))
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose ids do not decode to their text; expected to be empty."""
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir)
     back = encoding.decode_ids(encoding.encode_texts(documents))
     return (
         back.withColumnRenamed("text", "decoded")
@@ -29,20 +33,20 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 12 words in a row of an evaluation item."""
     return leakage.leaked(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+        _documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items")
     )
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its leaked passages."""
     return leakage.cleaned(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+        _documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items")
     ).select("doc_id", F.size("items").alias("n_items"), "clean_text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document with their places."""
-    return sentences.sentence_units(read_table(spark, sf_dir, "documents"))
+    return sentences.sentence_units(_documents(spark, sf_dir))
 
 
 QUERIES = {
