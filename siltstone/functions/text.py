@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import InvalidInput
@@ -26,6 +26,15 @@ def tokens(text: Column | str) -> Column:
     return F.when(F.contains(text, F.lit("İ")), cut).otherwise(_cut(fold(text)))
 
 
+def with_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Columns ``keep`` and ``toks``, the tokens of a text column.
+
+    They come out of a generator of one row, since conditions on a plain expression
+    would be pushed below it and every text be cut again for each of them.
+    """
+    return df.select(*keep, F.explode_outer(F.array(tokens(text))).alias("toks"))
+
+
 def _cut(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 

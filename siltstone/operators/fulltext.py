@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from siltstone.errors import Corrupted, InvalidInput
 from siltstone.functions import bm25
 from siltstone.functions.bm25 import Bm25Config
-from siltstone.functions.text import checked_terms, tokens
+from siltstone.functions.text import checked_terms, with_tokens
 from siltstone.sources.shared import stacked
 
 MAX_LIMIT = 1000
@@ -47,7 +47,7 @@ class Index:
 def build(documents: DataFrame) -> Index:
     """The index of documents; nothing runs before it is queried."""
     docs = documents.where(F.col("document").isNotNull()).select("doc_id", "document")
-    toks = docs.select("doc_id", tokens("document").alias("toks"))
+    toks = with_tokens(docs, "document", "doc_id")
     return Index(
         docs,
         toks.select("doc_id", F.size("toks").cast("long").alias("doc_len")),
@@ -88,10 +88,10 @@ def search(index: Index, words: list[str], *, every: bool, limit: int | None = N
 def search_texts(documents: DataFrame, words: list[str], *, every: bool, limit: int | None = None) -> DataFrame:
     """Boolean search without an index: one scan, no shuffle but the final order."""
     terms = _checked(documents.sparkSession, words, limit)
-    have = F.array_intersect(tokens("document"), F.array(*map(F.lit, terms)))
-    need = F.size(have) == len(terms) if every else F.size(have) > 0
-    found = documents.where(F.col("document").isNotNull()).where(need).select("doc_id", "document")
-    found = found.orderBy("doc_id")
+    cut = with_tokens(documents.where(F.col("document").isNotNull()), "document", "doc_id", "document")
+    wanted = F.array(*map(F.lit, terms))
+    need = F.size(F.array_intersect("toks", wanted)) == len(terms) if every else F.arrays_overlap("toks", wanted)
+    found = cut.where(need).select("doc_id", "document").orderBy("doc_id")
     return found if limit is None else found.limit(limit)
 
 
@@ -159,9 +159,7 @@ def rank_texts(
     the second scores every document in place. Same rows as ``search_ranked``.
     """
     terms = _checked(documents.sparkSession, words, limit)
-    base = documents.where(F.col("document").isNotNull()).select(
-        "doc_id", "document", tokens("document").alias("toks")
-    )
+    base = with_tokens(documents.where(F.col("document").isNotNull()), "document", "doc_id", "document")
     stats = base.agg(
         F.count("*").alias("n"),
         F.sum(F.size("toks").cast("long")).alias("total"),

@@ -178,6 +178,27 @@ def kv_committed_only(spark, sf_dir):
     return _versions(cl.committed_only(_log(spark, sf_dir), read_table(spark, sf_dir, "wal_commits")))
 
 
+@_query(
+    "kv_replay_positions",
+    """
+select segment_id, lsn, pos, arrival_no, record_type::int as op,
+    row_number() over (partition by segment_id order by lsn, pos nulls first, arrival_no) as place
+from wal_records
+where txn_id is null or txn_id in (select txn_id from wal_commits where txn_id is not null)
+""",
+)
+def kv_replay_positions(spark, sf_dir):
+    """Committed changes with their place in the replay of each segment."""
+    from pyspark.sql import Window as W
+
+    done = cl.committed_only(_log(spark, sf_dir), read_table(spark, sf_dir, "wal_commits"))
+    order = W.partitionBy("segment_id").orderBy("lsn", F.asc_nulls_first("pos"), "arrival_no")
+    return done.select(
+        "segment_id", "lsn", "pos", "arrival_no", F.col("op").cast("int").alias("op"),
+        F.row_number().over(order).cast("long").alias("place"),
+    )
+
+
 @_query("kv_flush_image", _latest_sql(out=_VERSIONS))
 def kv_flush_image(spark, sf_dir):
     return _versions(cl.flush_image(_log(spark, sf_dir)))

@@ -91,6 +91,21 @@ def test_bulk_changes(spark, tmp_path):
     assert store.sequence == 100 and dict(rows(store.scan()))[b"1"] == b"99"
 
 
+def test_groups_and_given_versions(spark, tmp_path, monkeypatch):
+    from siltstone.sources import store as module
+
+    monkeypatch.setattr(module, "GROUP_BATCHES", 3)
+    store = Store.open(spark, str(tmp_path / "s"))
+    store.write_batches([[Put(b"k", b"%d" % i), Put(b"n%d" % i, b"x")] for i in range(7)] + [[]])
+    assert store.sequence == 14 and len(store.level(-1)) == 3 and store.get(b"k") == b"6"
+    with pytest.raises(InvalidInput):
+        store.write_batches([[Put(b"good", b"x")], [Put(b"bad", b"x" * (64 << 20))]])
+    assert store.get(b"good") is None
+    given = spark.createDataFrame([(b"k", 3, 1, b"older"), (b"z", 40, 1, b"new"), (None, 1, 1, b"")], "key binary, lsn long, op int, value binary")
+    store.apply_versions(given)
+    assert store.get(b"k") == b"6" and store.get(b"z") == b"new" and store.sequence == 40
+
+
 def test_failures_are_refused(spark, tmp_path):
     root = tmp_path / "s"
     store = Store.open(spark, str(root))
