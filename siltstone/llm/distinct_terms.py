@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import bm25
-from siltstone.functions.text import tokens
+from siltstone.functions.text import with_tokens
 from siltstone.llm.terms import distinct_records
 from siltstone.sources.shared import checkpointed, stacked
 
@@ -29,7 +29,7 @@ def local_weights(records: DataFrame, window: int = 4) -> DataFrame:
     places from the term anywhere in the record; 0 for a record of one term only.
     Records without term give no rows.
     """
-    worded = records.select("id", tokens("document").alias("toks")).where(F.size("toks") > 0)
+    worded = with_tokens(records, "document", "id").where(F.size("toks") > 0)
     by_place = worded.select(
         "id", F.size("toks").cast("long").alias("dl"), "toks", F.posexplode("toks").alias("i", "term")
     )
@@ -75,9 +75,11 @@ def record_terms(hits: DataFrame, window: int = 4) -> tuple[DataFrame, int, int]
     no record, documents without term count as records of length 0.
     """
     records = distinct_records(hits)
-    sums = records.agg(
-        F.count("*").alias("n"), F.sum(F.size(tokens("document")).cast("long")).alias("total")
-    ).first()
+    sums = (
+        with_tokens(records, "document", "id")
+        .agg(F.count("*").alias("n"), F.sum(F.size("toks").cast("long")).alias("total"))
+        .first()
+    )
     weights = checkpointed(local_weights(records, window))
     words = (
         with_df(weights)
@@ -90,6 +92,8 @@ def record_terms(hits: DataFrame, window: int = 4) -> tuple[DataFrame, int, int]
     return words, int(sums["n"] or 0), int(sums["total"] or 0)
 
 
+# The generators over these arrays are outer ones, though no array is empty: for
+# others the optimiser adds a condition that computes every array twice.
 def _top(scored: Column, k: int) -> Column:
     return F.slice(F.array_sort(scored), 1, k)
 
@@ -125,7 +129,7 @@ def top_by_bm25(hits: DataFrame, configs: DataFrame, k: int = 3) -> DataFrame:
     )
     return (
         pairs.join(words, "id")
-        .select("id", "config_id", F.posexplode(_top(scored, k)).alias("at", "t"))
+        .select("id", "config_id", F.posexplode_outer(_top(scored, k)).alias("at", "t"))
         .select(
             "id",
             "config_id",
@@ -147,7 +151,7 @@ def top_by_graph(hits: DataFrame, k: int = 3, window: int = 4) -> DataFrame:
             w["degree"].alias("degree"),
         ),
     )
-    return words.select("id", F.posexplode(_top(scored, k)).alias("at", "t")).select(
+    return words.select("id", F.posexplode_outer(_top(scored, k)).alias("at", "t")).select(
         "id",
         (F.col("at") + 1).cast("int").alias("place"),
         F.col("t.term").alias("term"),

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokens
+from siltstone.functions.text import with_tokens
 
 RUNS = "term string, occurrences long, records long"
 
@@ -41,7 +41,8 @@ def term_pairs(records: DataFrame) -> DataFrame:
     Records must have distinct ids. A record without term gives no row.
     """
     return (
-        records.select("id", F.explode(tokens("document")).alias("term"))
+        with_tokens(records, "document", "id")
+        .select("id", F.explode("toks").alias("term"))
         .groupBy("id", "term")
         .agg(F.count("*").alias("tf"))
     )
