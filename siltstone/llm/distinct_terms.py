@@ -22,17 +22,20 @@ from siltstone.sources.shared import checkpointed, stacked
 HEAVY_TERMS = 2_000
 
 
-def local_weights(records: DataFrame, window: int = 4) -> DataFrame:
+def local_weights(records: DataFrame, window: int | None = 4) -> DataFrame:
     """(id, dl, term, tf, degree) for each distinct term of each record.
 
     ``degree`` is the number of distinct terms that stand less than ``window``
     places from the term anywhere in the record; 0 for a record of one term only.
-    Records without term give no rows.
+    Without a window no graph is built and there is no ``degree``. Records without
+    term give no rows.
     """
     worded = with_tokens(records, "document", "id").where(F.size("toks") > 0)
-    by_place = worded.select(
-        "id", F.size("toks").cast("long").alias("dl"), "toks", F.posexplode("toks").alias("i", "term")
-    )
+    dl = F.size("toks").cast("long").alias("dl")
+    if window is None:
+        words = worded.select("id", dl, F.explode("toks").alias("term"))
+        return words.groupBy("id", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+    by_place = worded.select("id", dl, "toks", F.posexplode("toks").alias("i", "term"))
     first = F.greatest(F.col("i") - (window - 1), F.lit(0))
     near = F.slice(F.col("toks"), first + 1, F.col("i") + window - first)
     return (
@@ -45,7 +48,6 @@ def local_weights(records: DataFrame, window: int = 4) -> DataFrame:
             F.count("*").alias("tf"),
             F.size(F.array_distinct(F.flatten(F.collect_list("near")))).cast("long").alias("degree"),
         )
-        .select("id", "dl", "term", "tf", "degree")
     )
 
 
@@ -68,10 +70,10 @@ def with_df(weights: DataFrame) -> DataFrame:
     return stacked(marked.where(F.col("df").isNotNull()), rest)
 
 
-def record_terms(hits: DataFrame, window: int = 4) -> tuple[DataFrame, int, int]:
+def record_terms(hits: DataFrame, window: int | None = 4) -> tuple[DataFrame, int, int]:
     """(id, dl, words) per record with terms; number of records; sum of their lengths.
 
-    ``words`` is an array of (term, tf, degree, df). Null ids and null documents make
+    ``words`` is an array of (term, tf, df), with a window also degree. Null ids and null documents make
     no record, documents without term count as records of length 0.
     """
     records = distinct_records(hits)
@@ -81,12 +83,13 @@ def record_terms(hits: DataFrame, window: int = 4) -> tuple[DataFrame, int, int]
         .first()
     )
     weights = checkpointed(local_weights(records, window))
+    fields = ["term", "tf", "df"] + (["degree"] if window is not None else [])
     words = (
         with_df(weights)
         .groupBy("id")
         .agg(
             F.first("dl").alias("dl"),
-            F.collect_list(F.struct("term", "tf", "degree", "df")).alias("words"),
+            F.collect_list(F.struct(*fields)).alias("words"),
         )
     )
     return words, int(sums["n"] or 0), int(sums["total"] or 0)
@@ -105,7 +108,7 @@ def top_by_bm25(hits: DataFrame, configs: DataFrame, k: int = 3) -> DataFrame:
     rejects or that is missing gives no rows, nor does a record without terms. Of
     equal contributions the smaller term in byte order comes first.
     """
-    words, n, total = record_terms(hits)
+    words, n, total = record_terms(hits, window=None)
     settings = configs.select(
         "config_id", F.col("k1").cast("double").alias("k1"), F.col("b").cast("double").alias("b")
     ).where(bm25.accepted(F.col("k1"), F.col("b")))
