@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,6 +57,24 @@ def build(documents: DataFrame) -> Index:
     )
 
 
+def save(index: Index, folder: str) -> None:
+    """Write an index so that a query reads no more than its terms and hits.
+
+    Postings are range-partitioned and sorted by term, the other tables by document
+    id: Parquet's statistics then leave only the row groups that hold them.
+    """
+    postings = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    postings.write.parquet(f"{folder}/postings")
+    for name in ("documents", "lengths"):
+        table = getattr(index, name).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        table.write.parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    """An index that ``save`` wrote."""
+    return Index(*[spark.read.parquet(f"{folder}/{n}") for n in ("documents", "lengths", "postings")])
+
+
 def _checked(spark, words: list[str], limit: int | None) -> list[str]:
     if limit is not None and limit > MAX_LIMIT:
         raise InvalidInput(f"the limit is more than {MAX_LIMIT}")

@@ -122,3 +122,15 @@ def test_batches():
         with pytest.raises(InvalidInput):
             ft.checked_documents(bad)
     assert ft.checked_documents([]) == []
+
+
+def test_saved_index_answers_alike(spark, tmp_path):
+    texts = {"z": "rare rare common", "b": "rare common", "e": "!!!", "c": "common filler"}
+    index = ft.build(docs(spark, **texts))
+    ft.save(index, str(tmp_path / "i"))
+    loaded = ft.load(spark, str(tmp_path / "i"))
+    assert ft.violations(loaded).count() == 0
+    for every in (True, False):
+        want = ft.search_ranked(index, ["rare", "common"], every=every, limit=10).collect()
+        assert ft.search_ranked(loaded, ["rare", "common"], every=every, limit=10).collect() == want
+        assert ft.search(loaded, ["rare common"], every=every).collect() == ft.search(index, ["rare common"], every=every).collect()
