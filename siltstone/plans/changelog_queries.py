@@ -17,6 +17,8 @@ from siltstone.sources.shared import read_table, stacked
 
 #: A sequence number in the middle of the log, and key bounds that split the keys.
 AS_OF = 1_010_000
+#: A sequence number at which the hottest key is live.
+EARLY = 1_001_000
 LOW, HIGH, PREFIX = b"acct/4", b"caf\xc3\xa9/9", b"sess:"
 HOT = b"lease/leader"
 
@@ -92,9 +94,9 @@ def kv_get_point(spark, sf_dir):
     return _pairs(cl.point_get(_log(spark, sf_dir), HOT))
 
 
-@_query("kv_get_point_asof", _latest_sql(f"and lsn <= {AS_OF} and key = {_blob(HOT)}"))
+@_query("kv_get_point_asof", _latest_sql(f"and lsn <= {EARLY} and key = {_blob(HOT)}"))
 def kv_get_point_asof(spark, sf_dir):
-    return _pairs(cl.point_get(_log(spark, sf_dir), HOT, lsn=AS_OF))
+    return _pairs(cl.point_get(_log(spark, sf_dir), HOT, lsn=EARLY))
 
 
 @_query("kv_get_deleted", _latest_sql(f"and key = {_blob(HOT)} and op = 2"))
