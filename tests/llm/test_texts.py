@@ -225,6 +225,27 @@ def test_posteriors_follow_the_evidence():
     assert m.posterior(rows[0][0]) < 0.2 and m.posterior(rows[1][0]) > 0.9 and m.posterior(rows[3][0]) < 0.5
 
 
+def test_small_scripts_keep_their_evidence(spark, monkeypatch):
+    """Next to a large script, rows of a small one are kept or made coarser, never left out."""
+    rows = [("closed", ".", False, "space", "The", 3_000_000), ("Dr", ".", False, "space", "Smith", 1_000_000)]
+    rows += [("κ", ".", False, "space", "Σολμ", 12), ("τέλος", ".", False, "space", "Η", 12)]
+    rows += [(f"λέξη{chr(945 + i)}", ".", False, "space", f"Λ{chr(945 + i)}", 1) for i in range(20)]
+    rows += [("word" + chr(97 + i), "!", False, "space", "Next" + chr(97 + i), 1) for i in range(20)]
+    rows += [("§", "!", True, "none", "~", 1)]
+    schema = "last string, mark string, one boolean, gap string, next string, n long"
+    monkeypatch.setattr(sentences, "counted_sites", lambda *_: spark.createDataFrame(rows, schema))
+    seen = []
+    estimate = sentence_model.estimate
+    monkeypatch.setattr(sentence_model, "estimate", lambda kept, *known: (seen.extend(kept), estimate(kept, *known))[1])
+    model = sentences.train(spark.createDataFrame([], "text string"))
+    assert sum(n for _, n in seen) == sum(r[-1] for r in rows)
+    kept = dict(seen)
+    assert kept[("κ", ".", False, "space", "Σολμ")] == 12 and {"κ", "τέλος"} <= model.before
+    assert kept[("<xx:greek>", ".", False, "space", "<Xx:greek>")] == 20
+    assert kept[("<any>", "!", False, "space", "<any>")] == 20 and ("<any>", "!", True, "none", "<any>") in kept
+    assert len(model.before) == 4
+
+
 def test_spans():
     assert spans("a (b (c) d) e) (f", CLOSING_OF) == [(2, 11)]
     assert sites("")[0] == []
