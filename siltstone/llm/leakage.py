@@ -31,9 +31,15 @@ _DELETE = {ord(c): None for c in INVISIBLE}
 
 #: A word where it stands: letters and digits, with marks and invisible characters
 #: among them, across a hyphen at a line end if a letter follows.
-_HYPHENS = "-\u2010\u2011\u00ad"
-_LINE_END = rf"[{_HYPHENS}][{INVISIBLE}]*[^\S\n\r\u2028\u2029]*(?:\r\n|[\n\r\u2028\u2029\u0085])[\s{INVISIBLE}]*(?=\p{{L}})"
-WORD = rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]|(?<=[\p{{L}}\p{{M}}{INVISIBLE}]){_LINE_END})*"
+_HYPHENS = "-\u2010\u2011"
+_BREAK = rf"[^\S\n\r\u2028\u2029]*(?:\r\n|[\n\r\u2028\u2029\u0085])[\s{INVISIBLE}]*(?=\p{{L}})"
+_LINE_END = rf"[{_HYPHENS}][{INVISIBLE}]*{_BREAK}"
+#: A run of invisible characters is taken as a whole; with a soft hyphen among them it may part a word.
+_SOFT_END = rf"[{INVISIBLE.replace('\u00ad', '')}]*+\u00ad[{INVISIBLE}]*+{_BREAK}"
+WORD = (
+    rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\p{{M}}]|(?<=[\p{{L}}\p{{M}}]){_SOFT_END}|[{INVISIBLE}]++"
+    rf"|(?<=[\p{{L}}\p{{M}}{INVISIBLE}]){_LINE_END})*"
+)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

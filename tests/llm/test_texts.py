@@ -111,6 +111,20 @@ def test_what_makes_no_difference(text):
     assert leakage.without("before " + text + " after", places, items.hits(forms), 12).split() in (["before", "after"], ["before", "(", ")", "after"], ["before", "()", "after"])
 
 
+@pytest.mark.parametrize("end", ["\u00ad\n", "\u200b\u00ad\r\n ", "\u00ad\u00ad \u2028", "\u00ad\ufeff\t\n\n"])
+def test_a_soft_hyphen_at_a_line_end_parts_no_word(end):
+    """Also in linear time where long runs of soft hyphens end no line."""
+    import time
+
+    cut = leakage.Words()
+    assert cut(f"the parlia{end}ment sat")[0] == ["the", "parliament", "sat"]
+    assert leakage.ItemSet([(1, PASSAGE)], 12).hits(cut(PASSAGE.replace("epsilon", f"epsi{end}lon"))[0])
+    assert cut(f"a{end}5 x\u00ady z\u00ad w")[0] == ["a", "5", "xy", "z", "w"]
+    began = time.time()
+    assert cut("a" + "\u00ad" * 200_000 + " b")[0] == ["a", "b"]
+    assert time.time() - began < 5
+
+
 def test_twelve_words_are_needed():
     items, cut = leakage.ItemSet([(1, PASSAGE)], 12), leakage.Words()
     assert items.hits(cut(" ".join(PASSAGE.split()[:12]))[0]) and not items.hits(cut(" ".join(PASSAGE.split()[:11]))[0])
