@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import InvalidInput
+from siltstone.sources.shared import checkpointed
 
 #: N-grams of items that are broadcast, and characters of item text held by a task.
 MAX_GRAMS, MAX_CHARS = 2_000_000, 50_000_000
@@ -205,8 +206,13 @@ def without(text: str | None, places: list, hits: dict[int, list[int]], n: int)
     return "".join([*out, text[upto:]])
 
 
-def _gram_rows(df: DataFrame, id_col: str, text_col: str, name: str, n: int) -> DataFrame:
-    """(name, hash, gram): every window of n words, for the join."""
+def _gram_rows(
+    df: DataFrame, id_col: str, text_col: str, name: str, n: int, placed: bool = False
+) -> DataFrame:
+    """(name, hash, gram): every window of n words, for the join.
+
+    With ``placed`` every window has its place, else equal ones may come once.
+    """
     chosen = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
@@ -218,11 +224,18 @@ def _gram_rows(df: DataFrame, id_col: str, text_col: str, name: str, n: int) ->
             for row, text in enumerate(batch.column("text").to_pylist()):
                 forms, _ = cut(text)
                 for lo in range(0, max(0, len(forms) - n + 1), 5_000):
-                    grams = {" ".join(forms[i : i + n]) for i in range(lo, min(lo + 5_000, len(forms) - n + 1))}
+                    at = range(lo, min(lo + 5_000, len(forms) - n + 1))
+                    grams = [" ".join(forms[i : i + n]) for i in at]
+                    grams = grams if placed else list(set(grams))
                     ids = batch.column("id").slice(row, 1).take(pa.array([0] * len(grams)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(list(grams), pa.string())], [name, "gram"])
+                    columns = [ids, pa.array(grams, pa.string())]
+                    if placed:
+                        columns.append(pa.array(at, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return chosen.mapInArrow(run, f"`{name}` {kind}, gram string").withColumn("hash", F.xxhash64("gram"))
+    names = [name, "gram", "place"] if placed else [name, "gram"]
+    more = ", place int" if placed else ""
+    return chosen.mapInArrow(run, f"`{name}` {kind}, gram string{more}").withColumn("hash", F.xxhash64("gram"))
 
 
 def leaked(
@@ -264,12 +277,53 @@ def cleaned(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """(doc id, items, clean_text): every document without its leaked spans.
 
-    Documents without a hit keep their text, null texts stay null.
+    Documents without a hit keep their text, null texts stay null. ``broadcast``
+    forces or forbids the broadcast set.
     """
-    found = _bounded_items(items, item_col, item_text_col, n)
-    if found is None:
+    if n < 1:
+        raise InvalidInput("n must be at least 1")
+    found = None if broadcast is False else _bounded_items(items, item_col, item_text_col, n)
+    if found is not None:
+        return _scan(documents, found, id_col, text_col, outside=True)
+    if broadcast:
         raise InvalidInput("the items are too large to be broadcast")
-    return _scan(documents, found, id_col, text_col, outside=True)
+    return _cut_by_join(documents, items, n, id_col, text_col, item_col, item_text_col)
+
+
+def _cut_by_join(
+    documents: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> DataFrame:
+    """``cleaned`` for any number of items: the places of hits come from the join.
+
+    Rows are numbered, as ids may be null or stand in several rows, and written out,
+    so that a row keeps its number.
+    """
+    numbered = checkpointed(
+        documents.select(
+            F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
+        )
+    )
+    there = _gram_rows(items.where(F.col(item_col).isNotNull()), item_col, item_text_col, "item", n)
+    here = _gram_rows(numbered, "row", "text", "row", n, placed=True)
+    pairs = here.join(there.distinct(), ["hash", "gram"])
+    hits = pairs.groupBy("row").agg(
+        F.sort_array(F.collect_set(F.col("item").cast("long"))).alias("items"), F.collect_set("place").alias("places")
+    )
+    rows = numbered.join(hits, "row", "left").select("id", "text", "items", "places")
+    kind = numbered.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Words()
+        for batch in batches:
+            texts = []
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+                texts.append(without(text, cut(text)[1], {0: at}, n) if at else text)
+            found = [x or [] for x in batch.column("items").to_pylist()]
+            arrays = [batch.column("id"), pa.array(found, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "items", "clean_text"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, items array<bigint>, clean_text string")

@@ -138,6 +138,26 @@ def test_cleaned(spark):
     assert got == {1: ([7], "Before.  After."), 2: ([], None), 3: ([], "clean")}
 
 
+def test_cleaned_beyond_the_broadcast(spark, monkeypatch):
+    """Items too many to be broadcast are cut out by a join, with the same result."""
+    rng = random.Random(8)
+    words = PASSAGE.split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([5, 12, 20, 30]))) for _ in range(20)]
+    items = [*enumerate(texts), (100, PASSAGE), (101, PASSAGE), (102, None), (None, "no " * 20)]
+    docs = [(1, None), (2, ""), (None, f"A. {PASSAGE}"), (None, f"B. {PASSAGE}"), (3, f"C. {PASSAGE} D."), (3, "clean")]
+    docs += [(d, f"Start, {rng.choice(texts).upper()}; middle. {PASSAGE}, {rng.choice(texts)} End.") for d in range(4, 40)]
+    docs += [(50, "filler " * 6_000 + PASSAGE + " end" + " no" * 20)]
+    df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id bigint, text string, gram string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda f: sorted((tuple(r) for r in f.collect()), key=str)
+    want = rows(leakage.cleaned(df, it))
+    assert len(want) == len(docs) and sum(len(r[1]) > 1 for r in want) > 30
+    monkeypatch.setattr(leakage, "MAX_GRAMS", 3)
+    assert rows(leakage.cleaned(df, it)) == want
+    assert leakage.cleaned(df.limit(0), it).count() == 0
+    assert rows(leakage.cleaned(df, it.limit(0), broadcast=False)) == sorted([(d, [], t) for d, t in docs], key=str)
+
+
 # sentences
 
 TRAINING = (
