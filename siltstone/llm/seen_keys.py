@@ -27,6 +27,9 @@ from siltstone.sources.shared import checkpointed, stacked
 
 #: The batch of keys that stood in sealed files before the first record.
 FILES = -1
+#: Least record ids of a batch, and how many batches the ids may make: with few, most
+#: earlier keys would stand in the batch itself, with many each would be a few keys a bucket.
+LEAST_BATCH, MAX_BATCHES = 1 << 14, 128
 #: Slots per remaining key on each level of the perfect hash.
 GAMMA = 2.0
 _MAX_LEVELS = 48
@@ -197,15 +200,30 @@ def batch_keys(records: DataFrame, files: DataFrame, batch_rows: int) -> DataFra
     return stacked(own, sealed)
 
 
+def batch_size(records: DataFrame) -> int:
+    """Record ids of a batch: a power of two times LEAST_BATCH, for at most MAX_BATCHES of them."""
+    ids = records.agg(F.min("record_id"), F.max("record_id")).first()
+    size = LEAST_BATCH
+    if ids[0] is not None:
+        while ids[1] // size - ids[0] // size >= MAX_BATCHES:
+            size *= 2
+    return size
+
+
 def lookup(
     records: DataFrame,
     files: DataFrame,
     *,
-    batch_rows: int = 1 << 20,
+    batch_rows: int | None = None,
     bucket_rows: int = 150_000,
     fingerprint_bits: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
-    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys."""
+    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys.
+
+    Without ``batch_rows`` batches are of ``batch_size``.
+    """
+    if batch_rows is None:
+        batch_rows = batch_size(records)
     keys = checkpointed(batch_keys(records, files, batch_rows))
     buckets = max(8, -(-keys.count() // bucket_rows))
     hashed = keys.select(

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import seen_keys
 from siltstone.llm.seen_keys import PerfectHash, _distinct
@@ -78,3 +79,22 @@ def test_rate(spark):
     assert one["lookups"] > 8000 and 0 < one["wrong_share"] < 4 / 256
     none = seen_keys.wrong_rate(r.limit(0), f).first()
     assert (none["lookups"], none["wrong_share"]) == (0, 0.0)
+
+
+def test_sealed_partitions_decide_most_keys(spark):
+    """By default, most keys seen before are found in a sealed partition, not in their own batch."""
+    n = 1 << 17
+    r = spark.range(n).select(F.col("id").alias("record_id"), F.expr(f"cast(cast(pmod(id * 7919, {n // 2 + 1}) as string) as binary)").alias("key"))
+    f = spark.createDataFrame([], "key binary")
+    looked, _ = seen_keys.lookup(r, f)
+    seen = n - r.select("key").distinct().count()
+    assert looked.where("claimed is not null").count() > 0.9 * seen
+    assert seen_keys.seen_before(r, f).count() == seen
+
+
+@pytest.mark.parametrize("first, last", [(0, 0), (5, 150_000), (0, 1_500_000), (3, 750_000_000), (10**15, 10**15 + 10**9)])
+def test_batches_are_many_but_bounded(spark, first, last):
+    size = seen_keys.batch_size(spark.createDataFrame([(first,), (last,), (None,)], "record_id bigint"))
+    batches = last // size - first // size + 1
+    assert batches <= seen_keys.MAX_BATCHES + 1 and (size == seen_keys.LEAST_BATCH or batches > seen_keys.MAX_BATCHES // 2 - 1)
+    assert seen_keys.batch_size(spark.createDataFrame([], "record_id bigint")) == seen_keys.LEAST_BATCH
