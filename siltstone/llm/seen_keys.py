@@ -108,6 +108,10 @@ class Sealed:
         self.rows = np.zeros(len(at), np.int64)
         self.rows[slots] = at
 
+    def nbytes(self) -> int:
+        """Bytes of all that is kept by slot."""
+        return self.hash.nbytes() + self.prints.nbytes + self.batches.nbytes + self.rows.nbytes
+
     def claims(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs meet an equal fingerprint, and at which slot."""
         slots = self.hash.slots(h1, h2)
@@ -125,7 +129,8 @@ def _distinct(at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 LOOKED_UP = (
-    "key binary, batch int, record_id long, claimed int, lookups int, wrong int, sealed_bytes long"
+    "key binary, batch int, record_id long, claimed int, lookups int, wrong int, sealed_keys long, "
+    "sealed_bytes long"
 )
 
 
@@ -163,17 +168,19 @@ def _bucket_lookup(bits: int):
             while sealed and len(sealed[-1].at) < 2 * len(at):
                 at = np.concatenate([sealed.pop().at, at])
             sealed.append(Sealed(at, h1, h2, batch, bits))
-        size = sum(s.hash.nbytes() + s.prints.nbytes for s in sealed)
-        sizes = np.zeros(n, np.int64)
-        sizes[-1:] = size
+        # also what claims are refuted by: both hashes of every batch key
+        size = sum(s.nbytes() for s in sealed) + h1.nbytes + h2.nbytes
+        held, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        shown = np.flatnonzero(batch != FILES)[-1:]
+        held[shown], sizes[shown] = sum(len(s.at) for s in sealed), size
         unclaimed = pa.array(claimed == np.iinfo(np.int32).min)
         claimed = pa.array(claimed, mask=claimed == np.iinfo(np.int32).min)
         # a new key needs no comparison of bytes, so it goes no further
         keys = pc.if_else(unclaimed, pa.scalar(None, table.schema.field("key").type), table.column("key"))
         out = pa.table(
             [keys, table.column("batch"), table.column("record_id"), claimed,
-             pa.array(lookups), pa.array(wrong), pa.array(sizes)],
-            names=["key", "batch", "record_id", "claimed", "lookups", "wrong", "sealed_bytes"],
+             pa.array(lookups), pa.array(wrong), pa.array(held), pa.array(sizes)],
+            names=["key", "batch", "record_id", "claimed", "lookups", "wrong", "sealed_keys", "sealed_bytes"],
         )
         return out.filter(pc.not_equal(out.column("batch"), FILES))
 
@@ -268,13 +275,22 @@ def seen_before(records: DataFrame, files: DataFrame, **settings) -> DataFrame:
 
 
 def wrong_rate(records: DataFrame, files: DataFrame, **settings) -> DataFrame:
-    """One row: keys looked up, lookups in sealed partitions, wrong claims and their share."""
+    """One row: keys looked up, lookups in sealed partitions, wrong claims and their share.
+
+    Also the sealed keys and all bytes kept for them, of buckets in which a key was
+    looked up: perfect hash, fingerprint, batch and row of every slot, and the two
+    hashes of every batch key that claims are compared with.
+    """
     looked, _ = lookup(records, files, **settings)
     return looked.agg(
         F.count("*").alias("batch_keys"),
         F.coalesce(F.sum(F.col("lookups").cast("long")), F.lit(0)).alias("lookups"),
         F.coalesce(F.sum(F.col("wrong").cast("long")), F.lit(0)).alias("wrong_claims"),
+        F.coalesce(F.sum("sealed_keys"), F.lit(0)).alias("sealed_keys"),
         F.coalesce(F.sum("sealed_bytes"), F.lit(0)).alias("sealed_bytes"),
+    ).withColumn(
+        "bytes_per_key",
+        F.when(F.col("sealed_keys") > 0, F.col("sealed_bytes") / F.col("sealed_keys")).otherwise(0.0),
     ).withColumn(
         "wrong_share",
         F.when(F.col("lookups") > 0, F.col("wrong_claims") / F.col("lookups")).otherwise(0.0),

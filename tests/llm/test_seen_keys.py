@@ -98,3 +98,25 @@ def test_batches_are_many_but_bounded(spark, first, last):
     batches = last // size - first // size + 1
     assert batches <= seen_keys.MAX_BATCHES + 1 and (size == seen_keys.LEAST_BATCH or batches > seen_keys.MAX_BATCHES // 2 - 1)
     assert seen_keys.batch_size(spark.createDataFrame([], "record_id bigint")) == seen_keys.LEAST_BATCH
+
+
+def test_rate_is_of_the_setting_of_the_query(spark, monkeypatch):
+    from siltstone.llm import key_queries
+
+    r = spark.createDataFrame([(i, b"%d" % (i % 50)) for i in range(100)], "record_id bigint, key binary")
+    f = spark.createDataFrame([(b"%d" % i,) for i in range(0, 100, 3)], "key binary")
+    monkeypatch.setattr(key_queries, "_tables", lambda *_: (r, f))
+    settings, lookup = [], seen_keys.lookup
+    monkeypatch.setattr(seen_keys, "lookup", lambda *a, **kw: (settings.append(kw), lookup(*a, **kw))[1])
+    key_queries.p1_found(spark, "")
+    key_queries.p1_wrong_rate(spark, "")
+    assert settings[0] == settings[1]
+
+
+def test_all_bytes_of_a_sealed_key_are_reported(spark):
+    """Fingerprint, batch and row of its slot and its two hashes are 30 bytes, besides the perfect hash."""
+    r = spark.createDataFrame([(i, b"%d" % i) for i in range(5000)], "record_id bigint, key binary")
+    f = spark.createDataFrame([(b"x%d" % i,) for i in range(1000)], "key binary")
+    row = seen_keys.wrong_rate(r, f, batch_rows=500).first()
+    assert row["sealed_bytes"] > 30 * 6000
+    assert row["sealed_keys"] == 6000 and 30 < row["bytes_per_key"] < 34
