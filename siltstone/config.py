@@ -11,7 +11,13 @@ KIB, MIB = 1 << 10, 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes in bytes; ``validate`` refuses values outside the ranges below."""
+    """Sizes in bytes; ``validate`` refuses values outside the ranges below.
+
+    ``sstable_block_size`` is the Parquet page size and ``bloom_false_positive_rate``
+    that of the Bloom filters on keys, both of all files but the log's. A write to the
+    log takes files of about ``wal_segment_size``. ``max_sstable_file_handles`` is only
+    checked: Spark opens files for as long as it reads them and keeps none.
+    """
 
     memtable_size_threshold: int = 4 * MIB
     sstable_block_size: int = 4 * KIB
@@ -40,3 +46,12 @@ class Settings:
         if not 0 < self.bloom_false_positive_rate < 1:
             raise InvalidInput("bloom_false_positive_rate must lie between 0 and 1")
         return self
+
+    @classmethod
+    def for_cluster(cls, **changed) -> "Settings":
+        """Settings for terabytes: files of 512 MiB instead of 2, and levels to match."""
+        large = dict(
+            memtable_size_threshold=64 * MIB, sstable_block_size=64 * KIB, target_sstable_bytes=512 * MIB,
+            level_base_bytes=64 << 30, wal_segment_size=10 * MIB, max_level0_files=8,
+        )
+        return cls(**(large | changed)).validate()

@@ -19,9 +19,13 @@ def starts_with(key: Column, prefix: bytes) -> Column:
     return low if above is None else low & (key < F.lit(above))
 
 
+#: Bytes of a change in the log beside its key and value.
+FRAME = 62
+
+
 def frame_bytes(key: Column, value: Column) -> Column:
     """Size of one change in the log: its payload and frame."""
-    return F.lit(62) + F.length(key) + F.coalesce(F.length(value), F.lit(0))
+    return F.lit(FRAME) + F.length(key) + F.coalesce(F.length(value), F.lit(0))
 
 
 def _low_half(hexed: Column, start: int) -> Column:

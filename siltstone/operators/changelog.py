@@ -8,17 +8,19 @@ no changes. Other columns are carried along unless a docstring says otherwise.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siltstone.errors import InvalidInput
-from siltstone.functions.bytes import frame_bytes, starts_with
+from siltstone.functions.bytes import FRAME, frame_bytes, starts_with
+from siltstone.operators.ordered import RANGE, in_ranges, running
 from siltstone.sources.shared import stacked
 
 PUT, DELETE = 1, 2
@@ -110,14 +112,14 @@ def batch_to_changes(batches: DataFrame, first_lsn: int = 1) -> DataFrame:
     """Changes of batches (batch_id, pos, op, key, value): each operation takes the next lsn.
 
     Positions count from 0 within a batch. The lsn of an operation is the first lsn,
-    plus the operations of all earlier batches, plus its position; only the sizes of
-    batches are summed over, not their rows.
+    plus the operations of all earlier batches, plus its position; the sizes of batches
+    are summed over range by range. A row without batch_id is no operation.
     """
-    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("batch_id", F.coalesce(before, F.lit(0)).alias("before"))
+    sizes = batches.where(F.col("batch_id").isNotNull()).groupBy("batch_id").agg(F.count("*").alias("_n"))
+    upto = running(in_ranges(sizes, "batch_id"), ["batch_id"], "_upto", F.col("_n"))
+    offsets = upto.select("batch_id", (F.col("_upto") - F.col("_n")).alias("_ahead"))
     return batches.join(offsets, "batch_id").select(
-        "key", (F.lit(first_lsn) + F.col("before") + F.col("pos")).cast("long").alias("lsn"),
+        "key", (F.lit(first_lsn) + F.col("_ahead") + F.col("pos")).cast("long").alias("lsn"),
         "op", "value", "batch_id",
     )
 
@@ -138,11 +140,32 @@ def flush_image(changes: DataFrame) -> DataFrame:
 
 
 def coverage_gaps(changes: DataFrame, image: DataFrame) -> DataFrame:
-    """Keys whose holding version and image differ; no rows for a right flush."""
-    want = flush_image(changes).select("key", "lsn", "op", F.lit(1).alias("d"))
-    have = image.select("key", "lsn", "op", F.lit(-1).alias("d"))
-    sums = stacked(want, have).groupBy("key", "lsn", "op").agg(F.sum("d").alias("d"))
-    return sums.where(F.col("d") != 0).select("key", "lsn", "op")
+    """Versions (key, lsn, op) in which an image differs from what the changes leave.
+
+    No rows for a right flush. A version counts as often as it stands there, and its
+    value by 64 bits of hash: a lost, doubled, older or altered one is a gap.
+    """
+    return image_gaps(flush_image(changes), image)
+
+
+def image_gaps(want: DataFrame, have: DataFrame) -> DataFrame:
+    """Versions (key, lsn, op) that stand in one of two images more often than in the other."""
+    version = ["key", "lsn", "op"]
+    content = F.xxhash64("value").alias("content")  # a null is not an empty value: it leaves the seed
+    rows = stacked(
+        want.select(*version, F.when(F.col("value").isNotNull(), content).alias("content"), F.lit(1).alias("d")),
+        have.select(*version, F.when(F.col("value").isNotNull(), content).alias("content"), F.lit(-1).alias("d")),
+    )
+    sums = rows.groupBy(*version, "content").agg(F.sum("d").alias("d"))
+    return sums.where(F.col("d") != 0).select(*version).distinct()
+
+
+def content_hash() -> Column:
+    """Aggregate over versions: one number for their set, whatever their order and files."""
+    row = F.xxhash64(
+        F.col("key"), F.col("lsn").cast("long"), F.col("op").cast("int"), F.col("value").isNull(), F.col("value")
+    )
+    return F.coalesce(F.bit_xor(row), F.lit(0))
 
 
 def key_ranges(tables: DataFrame, by: str = "file_id") -> DataFrame:
@@ -154,50 +177,38 @@ def key_ranges(tables: DataFrame, by: str = "file_id") -> DataFrame:
     )
 
 
-#: Ranges that are tested in a plain expression; more are searched by bisection.
+#: Ranges that are tested in a plain expression; more are met along the order of keys.
 _FEW_RANGES = 32
 
 
 def reclaim_deletes(merged: DataFrame, protected: DataFrame) -> DataFrame:
     """``merged`` without the deletes whose key lies in no protected file range.
 
-    ``protected`` has smallest_key and largest_key of the files outside a merge, the
-    rows of a manifest: they are collected and joined to disjoint ranges, and each
-    delete is looked up in them, without a join. Puts pass untouched.
+    ``protected`` has smallest_key and largest_key of the files outside a merge. A few
+    ranges make an expression. With more of them, deletes and ranges are put in one
+    order: a key is protected if the largest end of all ranges that begin up to it is
+    not below it, whether they overlap or not. Puts pass untouched.
     """
-    ranges = disjoint_ranges(
-        [(bytes(r[0]), bytes(r[1])) for r in protected.select("smallest_key", "largest_key").collect()]
+    ranges = protected.select("smallest_key", "largest_key").where(
+        F.col("smallest_key").isNotNull() & F.col("largest_key").isNotNull()
     )
-    if len(ranges) <= _FEW_RANGES:
+    few = ranges.limit(_FEW_RANGES + 1).collect()
+    if len(few) <= _FEW_RANGES:
         covered = F.lit(False)
-        for lo, hi in ranges:
-            covered = covered | F.col("key").between(F.lit(lo), F.lit(hi))
+        for lo, hi in few:
+            covered = covered | F.col("key").between(F.lit(bytes(lo)), F.lit(bytes(hi)))
         return merged.where((F.col("op") == PUT) | covered)
-    shared = merged.sparkSession.sparkContext.broadcast(ranges)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = [lo for lo, _ in shared.value]
-        highs = [hi for _, hi in shared.value]
-        for batch in batches:
-            found = []
-            for key in batch.column("key").to_pylist():
-                k = bisect.bisect_right(lows, key) - 1
-                found.append(k >= 0 and key <= highs[k])
-            yield batch.filter(pa.array(found, pa.bool_()))
-
     deletes = merged.where(F.col("op") == DELETE)
-    return stacked(merged.where(F.col("op") == PUT), deletes.mapInArrow(keep, deletes.schema))
-
-
-def disjoint_ranges(ranges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """Closed ranges joined where they overlap."""
-    out: list[tuple[bytes, bytes]] = []
-    for lo, hi in sorted(ranges):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+    starts = ranges.groupBy(F.col("smallest_key").alias("key")).agg(F.max("largest_key").alias("_end"))
+    both = stacked(
+        starts.select("key", "_end", F.lit(0).alias("_kind")),
+        # of a key there is one version in an image
+        deletes.select("key", F.lit(None).cast("binary").alias("_end"), F.lit(1).alias("_kind")),
+    )
+    order = ["key", "_kind"]
+    reached = running(in_ranges(both, *order), order, "_reach", F.col("_end"), "max")
+    kept = reached.where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("key"))).select("key")
+    return stacked(merged.where(F.col("op") == PUT), deletes.join(kept, "key", "left_semi").select(*merged.columns))
 
 
 def compact(tables: DataFrame, protected: DataFrame | None = None) -> DataFrame:
@@ -206,60 +217,116 @@ def compact(tables: DataFrame, protected: DataFrame | None = None) -> DataFrame:
     return merged if protected is None else reclaim_deletes(merged, protected)
 
 
-def overlapping_files(ranges: DataFrame) -> DataFrame:
-    """(left_id, right_id) of files whose key ranges overlap, left_id < right_id.
+def overlaps(ranges: DataFrame) -> DataFrame:
+    """(file_id, n_overlapping, group_id) of files with smallest_key and largest_key.
 
-    A sweep over the range bounds: a file is listed with those that are open when
-    it starts. The input is a manifest; it is sorted on the driver.
+    ``n_overlapping`` is the number of other files whose range meets the file's own:
+    those that begin up to its end, less those that end before its beginning.
+    ``group_id`` counts, in key order from 1, the groups of files that overlap directly
+    or through one another. No pair is ever listed. Files without range have no row.
     """
-    rows = sorted(
-        (bytes(r["smallest_key"]), bytes(r["largest_key"]), r["file_id"])
-        for r in ranges.select("file_id", "smallest_key", "largest_key").collect()
+    files = ranges.select("file_id", "smallest_key", "largest_key").where(
+        F.col("smallest_key").isNotNull() & F.col("largest_key").isNotNull()
+    )
+    # what happens along the keys: 0 a file begins, 1 one ends; a beginning goes first
+    events = files.select(
+        "file_id",
+        F.explode(
+            F.array(
+                F.struct(F.col("smallest_key").alias("key"), F.lit(0).alias("end")),
+                F.struct(F.col("largest_key").alias("key"), F.lit(1).alias("end")),
+            )
+        ).alias("e"),
+    ).select("file_id", "e.key", "e.end")
+    order = ["key", "end", "file_id"]
+    placed = running(in_ranges(events, *order), order, "begun", 1 - F.col("end"))
+    placed = running(placed, order, "ended", F.col("end"))
+    # a group begins where as many have ended before as have begun
+    fresh = (F.col("end") == 0) & (F.col("begun") - 1 == F.col("ended"))
+    placed = running(placed, order, "group_id", F.when(fresh, 1))
+    return placed.groupBy("file_id").agg(
+        # begun at an end: all that begin up to it; ended at a beginning: all that end before it
+        (
+            F.max(F.when(F.col("end") == 1, F.col("begun"))) - F.max(F.when(F.col("end") == 0, F.col("ended"))) - 1
+        ).alias("n_overlapping"),
+        F.max(F.when(F.col("end") == 0, F.col("group_id"))).alias("group_id"),
     )
-    pairs, open_ = [], []
-    for lo, hi, file_id in rows:
-        open_ = [o for o in open_ if o[0] >= lo]
-        pairs += [(min(file_id, o[1]), max(file_id, o[1])) for o in open_]
-        open_.append((hi, file_id))
-    return ranges.sparkSession.createDataFrame(pairs, "left_id long, right_id long")
 
 
 def closure(files: list[dict], seeds: set[int]) -> set[int]:
-    """File ids that overlap the seeds, directly or through one another."""
-    chosen = set(seeds)
-    while True:
-        held = [f for f in files if f["file_id"] in chosen]
-        more = {
-            f["file_id"] for f in files
-            if f["file_id"] not in chosen
-            and any(f["lo"] <= h["hi"] and h["lo"] <= f["hi"] for h in held)
-        }
-        if not more:
-            return chosen
-        chosen |= more
+    """File ids that overlap the seeds, directly or through one another.
+
+    ``files`` are entries of a manifest with file_id, lo and hi; one sweep in key order.
+    """
+    chosen: set[int] = set()
+    group: list[int] = []
+    end = None
+    for f in sorted(files, key=lambda f: f["lo"]):
+        if end is not None and f["lo"] > end:
+            chosen.update(group if seeds & set(group) else ())
+            group, end = [], None
+        group.append(f["file_id"])
+        end = f["hi"] if end is None else max(end, f["hi"])
+    chosen.update(group if seeds & set(group) else ())
+    return chosen | seeds
 
 
 def cut_by_bytes(image: DataFrame, target: int) -> DataFrame:
     """``image`` with ``part``: key-ordered parts of about ``target`` bytes each.
 
-    Bytes are summed per key range first and only the ranges' sums are accumulated
-    in one task, so that no task sees more than a range of rows.
+    The part of a row is the number of whole targets in the bytes of all keys before
+    it. ``image`` has one version per key; every row comes out once.
     """
     if target < 1:
         raise InvalidInput("the target must be at least one byte")
     sized = image.withColumn("_size", frame_bytes(F.col("key"), F.col("value")).cast("long"))
-    ranged = sized.repartitionByRange("key").sortWithinPartitions("key")
-    ranged = ranged.withColumn("_range", F.spark_partition_id())
-    within = W.partitionBy("_range").orderBy("key").rowsBetween(W.unboundedPreceding, 0)
-    sums = ranged.groupBy("_range").agg(F.sum("_size").alias("n"))
-    ahead = F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sums.select("_range", F.coalesce(ahead, F.lit(0)).alias("_before"))
-    upto = F.sum("_size").over(within) - F.col("_size") + F.col("_before")
-    return (
-        ranged.join(offsets, "_range")
-        .withColumn("part", F.floor(upto / target).cast("long"))
-        .drop("_size", "_range", "_before")
-    )
+    upto = running(in_ranges(sized, "key"), ["key"], "_upto", F.col("_size"))
+    part = F.floor((F.col("_upto") - F.col("_size")) / target).cast("long")
+    return upto.withColumn("part", part).drop("_size", "_upto", RANGE)
+
+
+def cut_in_place(image: DataFrame, target: int, ranges: int) -> DataFrame:
+    """(key, lsn, op, value, range, part): files of at most ``target`` bytes, in one pass.
+
+    The image is spread over key ranges, one task each, and every task begins a new
+    part where the next version would go beyond the target; a version larger than
+    that is a part of its own. Rows come sorted by range, part and key.
+    """
+    if target < 1:
+        raise InvalidInput("the target must be at least one byte")
+    chosen = image.select("key", "lsn", "op", "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, part, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            size = pc.add(
+                pc.binary_length(batch.column("key")), pc.fill_null(pc.binary_length(batch.column("value")), 0)
+            )
+            upto = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64) + FRAME)
+            parts, at, done = np.empty(n, np.int64), 0, 0
+            while at < n:  # once a part, not once a row
+                end = int(np.searchsorted(upto, done + target - held, "right"))
+                if end <= at:
+                    if held:
+                        part, held = part + 1, 0
+                        continue
+                    end = at + 1  # too large for any part
+                parts[at:end] = part
+                held, at, done = held + int(upto[end - 1]) - done, end, int(upto[end - 1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, own, np.int32)), pa.array(parts)],
+                ["key", "lsn", "op", "value", "range", "part"],
+            )
+
+    kind = "key binary, lsn bigint, op tinyint, value binary, range int, part bigint"
+    ordered = chosen.withColumn("op", F.col("op").cast("byte")).repartitionByRange(ranges, "key")
+    numbered = ordered.sortWithinPartitions("key").mapInArrow(number, kind)
+    return numbered.sortWithinPartitions("range", "part", "key")
 
 
 def statistics(changes: DataFrame) -> DataFrame:

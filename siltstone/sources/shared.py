@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.errors import StorageError
+from siltstone.errors import Corrupted, StorageError
 
 
 #: Bytes of a table that fill one split.
@@ -19,15 +22,20 @@ SPLIT_BYTES = 128 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Where the session names none, as in local tests, a fresh temporary folder is
-    set as checkpoint folder once for the context.
+    Where the session names none and runs on one machine, as in tests, a fresh
+    temporary folder is set as checkpoint folder once for the context and removed
+    when Python ends. On a cluster a folder of one machine would be no use: there the
+    setting is required.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     known = getattr(spark.sparkContext, "_siltstone_shared", None)
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StorageError("spark.checkpoint.dir must name a folder that all executors reach")
         known = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(known)
         spark.sparkContext._siltstone_shared = known
     return known
@@ -103,6 +111,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     stream = fs.open(p)
     try:
         return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    except Py4JJavaError as e:
+        raise Corrupted(f"{path} cannot be read") from e
     finally:
         stream.close()
 
@@ -129,20 +139,71 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(part, Path(path), options)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet; False if another writer made it first.
+
+    The text is written aside and given its name in one step that fails where the name
+    is taken: by a hard link on a local file system, else by a rename without overwriting.
+    """
+    jvm, fs = _fs(spark, path)
+    Path = jvm.org.apache.hadoop.fs.Path
+    target = fs.makeQualified(Path(path))
+    part = Path(f"{target.toString()}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    try:
+        if target.toUri().getScheme() == "file":
+            local = [jvm.java.nio.file.Path.of(jvm.java.net.URI.create(f"file://{p.toUri().getPath()}")) for p in (target, part)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
+            )
+            none = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+            context.rename(part, target, none)
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        fs.delete(part, False)
+    return True
+
+
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was last changed."""
+    jvm, fs = _fs(spark, path)
+    changed = fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(path)).getModificationTime()
+    return (jvm.java.lang.System.currentTimeMillis() - changed) / 1000
+
+
 class PublishedTable:
     """A table whose whole content changes at once.
 
-    Every publication is written to a generation folder of its own by Spark's
-    commit protocol; then ``CURRENT`` is renamed over. A reader follows ``CURRENT``
-    and so sees one whole generation. The generation before stays for readers that
-    began earlier; older ones are removed.
+    Every publication is written to a generation folder of its own by Spark's commit
+    protocol; then a numbered note that names the folder is created. The note with the
+    highest number is in force, and as a number can be taken only once, one of two
+    writers that began from the same state fails. ``retained`` generations before the
+    current one stay, for readers and lazy frames that began earlier.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    _NOTE = re.compile(r"note-(\d{20})\.json")
+
+    def __init__(self, spark: SparkSession, path: str, retained: int = 4):
+        self.spark, self.path, self.retained = spark, path.rstrip("/"), retained
+
+    def _numbers(self) -> list[int]:
+        found = (self._NOTE.fullmatch(name) for name in list_dir(self.spark, self.path))
+        return sorted(int(m.group(1)) for m in found if m)
 
     def current(self) -> dict | None:
-        text = read_text(self.spark, f"{self.path}/CURRENT")
+        """What the last publication noted, its generation among it; None before the first."""
+        numbers = self._numbers()
+        text = read_text(self.spark, f"{self.path}/note-{numbers[-1]:020d}.json") if numbers else None
         return json.loads(text) if text else None
 
     def read(self) -> DataFrame:
@@ -154,7 +215,8 @@ class PublishedTable:
     def publish(self, df: DataFrame, expected: str | None = None, **notes) -> DataFrame:
         """Write ``df`` as the next generation and make it current.
 
-        With ``expected`` the publication fails unless that generation is current.
+        The publication fails if another one came in between; with ``expected`` also
+        unless that generation is current.
         """
         now = self.current()
         if expected is not None and (now or {}).get("generation") != expected:
@@ -162,15 +224,16 @@ class PublishedTable:
         number = int(now["generation"].split("-")[1]) + 1 if now else 1
         name = f"generation-{number:020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{name}")
-        if self.current() != now:
+        if not create_text(self.spark, f"{self.path}/note-{number:020d}.json", json.dumps({"generation": name} | notes)):
             remove(self.spark, f"{self.path}/{name}")
             raise StorageError("the table was published by someone else meanwhile")
-        replace_text(self.spark, f"{self.path}/CURRENT", json.dumps({"generation": name} | notes))
-        keep = {name, now["generation"] if now else name}
-        for other in list_dir(self.spark, self.path):
-            if re.match(r"generation-\d{20}-", other) and other not in keep:
-                remove(self.spark, f"{self.path}/{other}")
-        return self.read()
+        for old in self._numbers():
+            if old < number - self.retained:
+                text = read_text(self.spark, f"{self.path}/note-{old:020d}.json")
+                if text:
+                    remove(self.spark, f"{self.path}/{json.loads(text)['generation']}")
+                remove(self.spark, f"{self.path}/note-{old:020d}.json")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
 
 def scratch_table(spark: SparkSession, name: str) -> PublishedTable:

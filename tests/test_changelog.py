@@ -95,7 +95,7 @@ def test_batches(spark):
 def test_reclaim(spark):
     df = log(spark, [(b"free", 3, None), (b"protected", 4, None), (b"z", 5, b"live")])
     for n in (0, 40):
-        fill = [(bytes([1, i]), bytes([1, i])) for i in range(n)]  # many ranges take the other path
+        fill = [(bytes([1, i]), bytes([1, i + 1])) for i in range(n)]  # many ranges take the other path
         protected = spark.createDataFrame([(b"p", b"q"), *fill], "smallest_key binary, largest_key binary")
         kept = sorted(bytes(r["key"]) for r in cl.compact(df, protected).collect())
         assert kept == [b"protected", b"z"]
@@ -104,13 +104,28 @@ def test_reclaim(spark):
 
 
 def test_overlaps_and_closure(spark):
-    ranges = [(1, b"a", b"c"), (2, b"c", b"d"), (3, b"e", b"f"), (4, b"b", b"b")]
-    df = spark.createDataFrame(ranges, "file_id bigint, smallest_key binary, largest_key binary")
-    got = {(r[0], r[1]) for r in cl.overlapping_files(df).collect()}
-    assert got == {(1, 2), (1, 4)}
-    files = [{"file_id": i, "lo": a, "hi": b} for i, a, b in ranges]
-    assert cl.closure(files, {4}) == {1, 2, 4}
-    assert cl.disjoint_ranges([(b"a", b"c"), (b"b", b"d"), (b"x", b"y")]) == [(b"a", b"d"), (b"x", b"y")]
+    ranges = [(1, b"a", b"c"), (2, b"c", b"d"), (3, b"e", b"f"), (4, b"b", b"b"), (5, None, None)]
+    kind = "file_id bigint, smallest_key binary, largest_key binary"
+    got = {r[0]: (r[1], r[2]) for r in cl.overlaps(spark.createDataFrame(ranges, kind)).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (0, 2), 4: (1, 1)}
+    files = [{"file_id": i, "lo": a, "hi": b} for i, a, b in ranges[:4]]
+    assert cl.closure(files, {4}) == {1, 2, 4} and cl.closure(files, {3}) == {3} and cl.closure([], {9}) == {9}
+    assert cl.overlaps(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_overlaps_against_pairs(spark):
+    rng = random.Random(11)
+    files = []
+    for i in range(300):
+        a, b = sorted(bytes([rng.randrange(40), rng.randrange(256)]) for _ in range(2))
+        files.append((i, a, b if rng.random() < 0.1 else max(a, bytes([a[0], min(255, a[1] + 30)]))))
+    df = spark.createDataFrame(files, "file_id bigint, smallest_key binary, largest_key binary")
+    got = {r[0]: (r[1], r[2]) for r in cl.overlaps(df).collect()}
+    meet = {i: {j for j, c, d in files if a <= d and c <= b} for i, a, b in files}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(m) - 1 for i, m in meet.items()}
+    for i, a, _ in files[:20]:
+        want = cl.closure([{"file_id": k, "lo": x, "hi": y} for k, x, y in files], {i})
+        assert {j for j, (_, g) in got.items() if g == got[i][1]} == want
 
 
 def test_cut_by_bytes(spark):
@@ -125,6 +140,55 @@ def test_cut_by_bytes(spark):
         cl.cut_by_bytes(df, 0)
 
 
+def test_cut_in_place_is_greedy(spark):
+    """Within a range a part ends where the next version would go beyond the target."""
+    rng = random.Random(3)
+    rows = [(b"k%04d" % i, i, b"v" * rng.choice([0, 5, 90, 700])) for i in range(400)]
+    got = cl.cut_in_place(log(spark, rows).withColumn("part", cl.F.lit("clash")), 600, 3).collect()
+    assert sorted(bytes(r["key"]) for r in got) == [k for k, _, _ in rows]
+    assert [r["key"] for r in got] == sorted(r["key"] for r in got) and len({r["range"] for r in got}) > 1
+    for n in {r["range"] for r in got}:
+        held, part = 0, 0
+        for r in sorted((r for r in got if r["range"] == n), key=lambda r: r["key"]):
+            size = 62 + len(r["key"]) + len(r["value"])
+            if held and held + size > 600:
+                held, part = 0, part + 1
+            held += size
+            assert r["part"] == part
+
+
+def test_gaps_show_every_difference(spark):
+    changes = log(spark, [(b"a", 1, b"x"), (b"a", 2, b"y"), (b"b", 3, None), (b"c", 4, b""), (b"d", 5, b"d")])
+    image = [(b"a", 2, b"y"), (b"b", 3, None), (b"c", 4, b""), (b"d", 5, b"d")]
+    gaps = lambda rows: sorted({bytes(r["key"]) for r in cl.coverage_gaps(changes, log(spark, rows)).collect()})
+    assert gaps(image) == []
+    assert gaps(image[1:]) == [b"a"] and gaps([*image, image[0]]) == [b"a"]
+    assert gaps([(b"a", 1, b"x"), *image[1:]]) == [b"a"]
+    assert gaps([(b"a", 2, b"altered"), *image[1:3]]) == [b"a", b"d"]
+    hashes = {log(spark, x).agg(cl.content_hash()).first()[0] for x in (image, image[::-1])}
+    assert len(hashes) == 1
+    assert log(spark, image[1:]).agg(cl.content_hash()).first()[0] not in hashes
+    assert log(spark, []).agg(cl.content_hash()).first()[0] == 0
+
+
+def test_cut_by_bytes_keeps_every_row(spark):
+    """Many rows and adaptive execution: 60 MB in ranges that are joined together as it likes."""
+    from pyspark.sql import functions as F
+
+    n, target = 200_000, 2 << 20
+    image = spark.range(n).select(
+        F.md5(F.col("id").cast("string")).cast("binary").alias("key"), F.col("id").alias("lsn"),
+        F.lit(1).cast("byte").alias("op"), F.repeat(F.lit("x"), 200).cast("binary").alias("value"),
+    )
+    parts = cl.cut_by_bytes(image, target).groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in parts) == n
+    assert sorted(r["part"] for r in parts) == list(range(-(-n * (62 + 32 + 200) // target)))
+    placed = cl.cut_in_place(image, target, 4)
+    files = placed.groupBy("range", "part").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in files) == n and max(r["n"] for r in files) * 294 <= target
+    assert cl.coverage_gaps(image, placed).count() == 0
+
+
 def test_random_against_model(spark):
     rng = random.Random(7)
     rows = [(bytes([rng.randrange(6)]), rng.randrange(40), rng.choice([None, b"", b"x", b"y"])) for _ in range(400)]

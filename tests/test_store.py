@@ -2,6 +2,7 @@
 
 import io
 import random
+import threading
 
 import pytest
 
@@ -9,6 +10,7 @@ from siltstone import command, repl
 from siltstone.config import Settings
 from siltstone.errors import Corrupted, InvalidInput, StorageError
 from siltstone.operators.changelog import Bound
+from siltstone.sources import store as store_module
 from siltstone.sources.documents import DOCUMENT, META, RESERVED, DocumentStore
 from siltstone.sources.shared import list_dir, replace_text
 from siltstone.sources.store import Delete, Put, Store, checked_batch, classify
@@ -65,7 +67,7 @@ def test_all_deleted_leaves_no_file(spark, tmp_path):
     store.write_batch([Put(b"a", b"x"), Delete(b"a")])
     store.flush()
     store.compact_level(0)
-    assert store.manifest["files"] == [] and store.get(b"a") is None
+    assert store.files == [] and store.get(b"a") is None
 
 
 def test_deletes_stay_while_they_hide_something(spark, tmp_path):
@@ -81,6 +83,145 @@ def test_deletes_stay_while_they_hide_something(spark, tmp_path):
     assert store.get(b"protected") is None
 
 
+def test_large_compaction_keeps_every_row(spark, tmp_path):
+    """200,000 rows, 60 MB, files of 2 MiB, in the settings that a store has by itself."""
+    from pyspark.sql import functions as F
+
+    store = Store.open(spark, str(tmp_path / "s"))
+    for k in range(2):
+        rows = spark.range(k * 100_000, k * 100_000 + 100_000).select(
+            F.md5(F.col("id").cast("string")).cast("binary").alias("key"), (F.col("id") + 1).alias("lsn"),
+            F.lit(1).alias("op"), F.repeat(F.lit("x"), 200).cast("binary").alias("value"),
+        )
+        store.apply_versions(rows)
+        assert store.maintenance_error is None
+        assert store.scan().count() == (k + 1) * 100_000
+    store.flush()
+    store.compact_level(0)
+    assert store.level(0) == [] and len(store.level(1)) >= 26
+    assert all(f["bytes"] <= 2 << 20 for f in store.level(1))
+    assert store.scan().count() == 200_000 and store.sequence == 200_000
+    store.verify()
+    assert Store.open(spark, store.root).files == store.files
+
+
+def test_a_merge_that_loses_a_row_is_refused(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, str(tmp_path / "s"))
+    store.write_batch([Put(b"k%d" % i, b"x") for i in range(50)])
+    store.flush()
+    cut, before = store_module.cl.cut_in_place, store.files
+    monkeypatch.setattr(store_module.cl, "cut_in_place", lambda *a: cut(*a).where("key <> X'6B37'"))
+    with pytest.raises(Corrupted, match="6b37"):
+        store.compact_level(0)
+    assert store.files == before and store.scan().count() == 50
+    monkeypatch.undo()
+    store.compact_level(0)
+    assert store.scan().count() == 50 and store.level(0) == []
+
+
+def test_replaced_files_stay_for_those_who_began_before(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"))
+    store.put(b"a", b"x")
+    lazy = store.scan()
+    store.flush()
+    store.compact_level(0)
+    assert rows(lazy) == [(b"a", b"x")]
+    old = store.manifest["dropped"][0][0]
+    for i in range(store_module.RETAINED + 1):
+        store.put(b"b%d" % i, b"y")
+    assert list_dir(spark, f"{store.root}/{old}") == []
+
+
+def test_the_manifest_in_full_comes_every_so_often(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "WHOLE_EVERY", 3)
+    store = Store.open(spark, str(tmp_path / "s"), Settings(max_level0_files=10))
+    for i in range(8):
+        store.put(b"k%d" % i, b"v")
+        again = Store.open(spark, store.root)
+        assert again.manifest == store.manifest
+    names = list_dir(spark, store.root)
+    assert sum(n.startswith("whole-") for n in names) <= 2 and sum(n.startswith("step-") for n in names) <= 7
+    replace_text(spark, f"{store.root}/whole-{store.manifest['version'] // 3 * 3:012d}.json", "{}")
+    with pytest.raises(Corrupted):
+        Store.open(spark, store.root)
+
+
+def test_one_of_two_writers_fails(spark, tmp_path):
+    """Many writers begin from one state: exactly one takes the next number."""
+    root = str(tmp_path / "s")
+    Store.open(spark, root)
+    writers = [Store.open(spark, root) for _ in range(4)]
+    outcomes: list = [None] * 4
+
+    def write(i):
+        try:
+            writers[i].put(b"k", b"%d" % i)
+            outcomes[i] = "stored"
+        except StorageError:
+            outcomes[i] = "refused"
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(outcomes) == ["refused"] * 3 + ["stored"]
+    assert Store.open(spark, root).get(b"k") == b"%d" % outcomes.index("stored")
+
+
+def test_threads_share_their_writes(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"))
+    threads = [threading.Thread(target=store.write_batch, args=([Put(b"k%d" % i, b"v"), Put(b"last", b"%d" % i)],)) for i in range(12)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert store.scan().count() == 13 and store.sequence == 24
+    assert len(store.level(-1)) < 12
+    ticket = store.submit([Put(b"queued", b"x")])
+    assert not ticket.done()
+    store.await_pending_writes()
+    assert ticket.done() and store.get(b"queued") == b"x"
+    last = store.submit([Put(b"at close", b"x")])
+    store.close()
+    assert last.done() and Store.open(spark, store.root).get(b"at close") == b"x"
+
+
+def test_what_failed_writers_left_is_removed(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"))
+    store.put(b"a", b"x")
+    left = tmp_path / "s" / "generation-000001" / "L0-left"
+    left.mkdir()
+    Store.open(spark, store.root)
+    assert left.exists()  # it may still be written
+    assert Store.open(spark, store.root, abandoned_after=0).get(b"a") == b"x"
+    assert not left.exists()
+
+
+def test_damage_is_found(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"))
+    store.write_batch([Put(b"a", b"x"), Put(b"b", b"y")])
+    store.flush()
+    store.verify()
+    folder = f"{store.root}/{store.files[0]['path']}"
+    altered = store._read(store.files).collect()
+    spark.createDataFrame([(*altered[0][:3], b"z"), altered[1]], store_module.CHANGE).write.mode("overwrite").parquet(folder)
+    with pytest.raises(Corrupted, match="content"):
+        store.verify()
+
+
+def test_files_have_bloom_filters_and_pages_of_the_settings(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), Settings(bloom_false_positive_rate=0.001))
+    store.write_batch([Put(b"k%d" % i, b"v" * 50) for i in range(500)])
+    store.flush()
+    [name] = [n for n in list_dir(spark, f"{store.root}/{store.files[0]['path']}") if n.endswith(".parquet")]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{store.root}/{store.files[0]['path']}/{name}")
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        columns = reader.getFooter().getBlocks().get(0).getColumns()
+        assert columns.get(0).getBloomFilterOffset() > 0 and columns.get(1).getBloomFilterOffset() <= 0
+    finally:
+        reader.close()
+
+
 def test_bulk_changes(spark, tmp_path):
     store = Store.open(spark, str(tmp_path / "s"))
     df = spark.range(100).selectExpr(
@@ -115,7 +256,7 @@ def test_failures_are_refused(spark, tmp_path):
     with pytest.raises(StorageError):
         store.put(b"c", b"z")
     assert rows(Store.open(spark, str(root)).scan()) == [(b"a", b"x"), (b"b", b"y")]
-    path = other.manifest["files"][0]["path"]
+    path = other.files[0]["path"]
     (root / path / "_SUCCESS").unlink()
     with pytest.raises(Corrupted):
         Store.open(spark, str(root))
