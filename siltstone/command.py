@@ -12,7 +12,8 @@ from siltstone.sources.store import Delete, Put, Store
 #: Rows that a search command prints at most.
 SEARCH_LIMIT = 100
 
-#: How each command is to be used.
+#: How each command is to be used. These lines and the answers below are what callers
+#: of the commands read (fixed values).
 USAGE = {
     "SET": "SET <key> <value>",
     "GET": "GET <key>",
@@ -131,7 +132,7 @@ def execute(engine: Store | DocumentStore, command: Command) -> str:
     name, args = command.name, command.args
     documents = name.startswith("DOC") or name in ("SEARCH", "RANK")
     if documents and not isinstance(engine, DocumentStore):
-        raise StorageError("document and full-text search commands are unsupported by this engine")
+        raise StorageError("this engine keeps no documents: DOC and FTS are unsupported")
     if name == "SET":
         engine.put(*args)
         return "OK"

@@ -25,20 +25,26 @@ MAX_BATCH_DOCUMENTS, MAX_BATCH_BYTES = 256, 4 << 20
 
 @dataclass
 class Index:
-    """Tables derived from documents."""
+    """Tables derived from documents; a saved index also brings its sums."""
 
     documents: DataFrame  # doc_id, document
     lengths: DataFrame  # doc_id, doc_len, zero lengths included
-    postings: DataFrame  # doc_id, term, tf
+    postings: DataFrame  # doc_id, term, tf, doc_len
+    saved_frequencies: DataFrame | None = None
+    saved_statistics: DataFrame | None = None
 
     @property
     def frequencies(self) -> DataFrame:
         """(term, df)."""
+        if self.saved_frequencies is not None:
+            return self.saved_frequencies
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     @property
     def statistics(self) -> DataFrame:
         """One row (n, total): documents and the sum of their lengths."""
+        if self.saved_statistics is not None:
+            return self.saved_statistics
         return self.lengths.agg(
             F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total")
         )
@@ -48,34 +54,44 @@ def build(documents: DataFrame) -> Index:
     """The index of documents; nothing runs before it is queried."""
     docs = documents.where(F.col("document").isNotNull()).select("doc_id", "document")
     toks = with_tokens(docs, "document", "doc_id")
+    doc_len = F.size("toks").cast("long").alias("doc_len")
     return Index(
         docs,
-        toks.select("doc_id", F.size("toks").cast("long").alias("doc_len")),
-        toks.select("doc_id", F.explode("toks").alias("term"))
+        toks.select("doc_id", doc_len),
+        toks.select("doc_id", doc_len, F.explode("toks").alias("term"))
         .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf")),
+        .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")),
     )
 
 
+_SAVED = ("documents", "lengths", "postings")
+
+
 def save(index: Index, folder: str) -> None:
     """Write an index so that a query reads no more than its terms and hits.
 
     Postings are range-partitioned and sorted by term, the other tables by document
-    id: Parquet's statistics then leave only the row groups that hold them.
+    id: Parquet's statistics then leave only the row groups that hold them. The sums
+    are taken from what was written.
     """
+    spark = index.documents.sparkSession
     postings = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     postings.write.parquet(f"{folder}/postings")
     for name in ("documents", "lengths"):
         table = getattr(index, name).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         table.write.parquet(f"{folder}/{name}")
+    written = Index(*[spark.read.parquet(f"{folder}/{n}") for n in _SAVED])
+    written.frequencies.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/frequencies")
+    written.statistics.write.parquet(f"{folder}/statistics")
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     """An index that ``save`` wrote."""
-    return Index(*[spark.read.parquet(f"{folder}/{n}") for n in ("documents", "lengths", "postings")])
+    return Index(*[spark.read.parquet(f"{folder}/{n}") for n in (*_SAVED, "frequencies", "statistics")])
 
 
-def _checked(spark, words: list[str], limit: int | None) -> list[str]:
+def checked(spark, words: list[str], limit: int | None) -> list[str]:
+    """Sorted distinct terms of a query, after the checks of its limit and its terms."""
     if limit is not None and limit > MAX_LIMIT:
         raise InvalidInput(f"the limit is more than {MAX_LIMIT}")
     if limit is not None and limit < 0:
@@ -83,29 +99,39 @@ def _checked(spark, words: list[str], limit: int | None) -> list[str]:
     return checked_terms(spark, words)
 
 
-def matching(index: Index, terms: list[str], every: bool) -> DataFrame:
-    """Postings of the terms in the documents that match all or any of them."""
-    hits = index.postings.where(F.col("term").isin(terms))
-    if not every or len(terms) == 1:
-        return hits
-    return hits.withColumn("_n", F.count("*").over(W.partitionBy("doc_id"))).where(
-        F.col("_n") == len(terms)
-    ).drop("_n")
+def with_documents(documents: DataFrame, hits: DataFrame, limit: int | None) -> DataFrame:
+    """``hits`` with their documents; a hit without document makes the query fail.
+
+    The hits of a limited search are at most MAX_LIMIT short rows: their ids select the
+    documents that are read at all. Without limit both sides meet in a shuffle.
+    """
+    if limit is not None:
+        rows = hits.collect()
+        hits = documents.sparkSession.createDataFrame(rows, hits.schema)
+        documents = documents.where(F.col("doc_id").isin([r["doc_id"] for r in rows])) if rows else documents.limit(0)
+    found = hits.join(documents.select("doc_id", "document", F.lit(True).alias("_there")), "doc_id", "left")
+    lost = F.raise_error(F.concat(F.lit("a hit has no document: "), F.col("doc_id")))
+    others = [c for c in hits.columns if c != "doc_id"]
+    return found.select("doc_id", F.when(F.col("_there"), F.col("document")).otherwise(lost).alias("document"), *others)
+
+
+def matching_ids(hits: DataFrame, terms: list[str], every: bool, limit: int | None) -> DataFrame:
+    """(doc_id) of the documents that have all or any of the terms, the smallest ids if limited."""
+    counted = hits.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    ids = counted.where(F.col("_n") >= (len(terms) if every else 1)).select("doc_id")
+    return ids if limit is None else ids.orderBy("doc_id").limit(limit)
 
 
 def search(index: Index, words: list[str], *, every: bool, limit: int | None = None) -> DataFrame:
     """(doc_id, document) of documents with all or any of the words, by doc_id."""
-    terms = _checked(index.documents.sparkSession, words, limit)
-    ids = matching(index, terms, every).select("doc_id").distinct()
-    if limit is not None:
-        ids = ids.orderBy("doc_id").limit(limit)
-    found = index.documents.join(ids, "doc_id", "left_semi")
-    return found.orderBy("doc_id")
+    terms = checked(index.documents.sparkSession, words, limit)
+    hits = index.postings.where(F.col("term").isin(terms))
+    return with_documents(index.documents, matching_ids(hits, terms, every, limit), limit).orderBy("doc_id")
 
 
 def search_texts(documents: DataFrame, words: list[str], *, every: bool, limit: int | None = None) -> DataFrame:
     """Boolean search without an index: one scan, no shuffle but the final order."""
-    terms = _checked(documents.sparkSession, words, limit)
+    terms = checked(documents.sparkSession, words, limit)
     cut = with_tokens(documents.where(F.col("document").isNotNull()), "document", "doc_id", "document")
     wanted = F.array(*map(F.lit, terms))
     need = F.size(F.array_intersect("toks", wanted)) == len(terms) if every else F.arrays_overlap("toks", wanted)
@@ -126,37 +152,43 @@ def search_ranked(
     A score is the sum of the terms' contributions in ascending term order from 0.0.
     An empty corpus, or one without any token, gives no rows.
     """
-    terms = _checked(index.documents.sparkSession, words, limit)
+    terms = checked(index.documents.sparkSession, words, limit)
     stats = index.statistics.first()
-    n, total = stats["n"], stats["total"]
+    return rank_hits(
+        index.postings.where(F.col("term").isin(terms)), index.documents, terms, stats["n"], stats["total"],
+        every=every, limit=limit, config=config,
+    )
+
+
+def rank_hits(
+    hits: DataFrame, documents: DataFrame, terms: list[str], n: int, total: int,
+    *, every: bool, limit: int | None, config: Bm25Config,
+) -> DataFrame:
+    """The ranked result from the postings (doc_id, term, tf, doc_len) of the terms."""
+    none = documents.select("doc_id", "document").limit(0).withColumn("score", F.lit(0.0))
     if not n or not total:
-        return index.documents.limit(0).withColumn("score", F.lit(0.0))
-    hits = index.postings.where(F.col("term").isin(terms))
+        return none
     dfs = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
     if any(df > n for df in dfs.values()):
         raise Corrupted("a term is in more documents than there are")
-    return _ranked(index, matching(index, terms, every), dfs, n, total, limit, config)
-
-
-def _ranked(index, hits, dfs, n, total, limit, config) -> DataFrame:
-    if not dfs:
-        return index.documents.limit(0).withColumn("score", F.lit(0.0))
+    if not dfs or (every and len(dfs) < len(terms)):
+        return none
     table = F.create_map(*[F.lit(x) for pair in sorted(dfs.items()) for x in pair])
     part = bm25.contribution(
         bm25.idf(F.lit(n), table[F.col("term")]), F.col("tf"), F.col("doc_len"),
         F.lit(total / n), F.lit(float(config.k1)), F.lit(float(config.b)),
     )
     scored = (
-        hits.join(index.lengths, "doc_id")
-        .select("doc_id", "term", part.alias("c"))
+        hits.select("doc_id", F.struct("term", part.alias("c")).alias("p"))
         .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("term", "c"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list("p")).alias("parts"))
+        .where(F.size("parts") >= (len(terms) if every else 1))
         .select("doc_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["c"]).alias("score"))
     )
     order = [F.desc("score"), F.asc("doc_id")]
     if limit is not None:
         scored = scored.orderBy(*order).limit(limit)
-    return index.documents.join(scored, "doc_id").select("doc_id", "document", "score").orderBy(*order)
+    return with_documents(documents, scored, limit).orderBy(*order)
 
 
 def _occurrences(toks: str, term: str):
@@ -176,7 +208,7 @@ def rank_texts(
     The first scan counts documents, tokens and the documents of each query term;
     the second scores every document in place. Same rows as ``search_ranked``.
     """
-    terms = _checked(documents.sparkSession, words, limit)
+    terms = checked(documents.sparkSession, words, limit)
     base = with_tokens(documents.where(F.col("document").isNotNull()), "document", "doc_id", "document")
     stats = base.agg(
         F.count("*").alias("n"),
@@ -247,7 +279,7 @@ def apply_delta(index: Index, changes: DataFrame) -> Index:
     return Index(
         apply_documents(index.documents, changes),
         stacked(index.lengths.join(ids, "doc_id", "left_anti"), fresh.lengths),
-        stacked(index.postings.join(ids, "doc_id", "left_anti"), fresh.postings),
+        stacked(index.postings.join(ids, "doc_id", "left_anti").select(*fresh.postings.columns), fresh.postings),
     )
 
 

@@ -280,27 +280,77 @@ def test_settings(bad):
         Settings(**bad).validate()
 
 
+def kept(index):
+    """What the kept index says, and that it says what the documents do."""
+    assert index.verify().count() == 0
+    stored = index.index()
+    from siltstone.operators import fulltext as ft
+
+    want = ft.build(index.documents()).statistics.first().asDict()
+    assert stored.statistics.first().asDict() == want
+    return want
+
+
 def test_documents(spark, tmp_path):
     store = Store.open(spark, str(tmp_path / "s"))
     index = DocumentStore.open(store)
-    index.put_documents([("a", b"apple apple shared"), ("b", b"banana shared"), ("a", b"pear shared shared")])
+    index.put_documents([("ship", b"Anchor chain, anchor."), ("dock", b"crane chain"), ("ship", b"sail chain chain")])
     ids = lambda words, every: [r["doc_id"] for r in index.search(words, every=every).collect()]
-    assert ids(["pear", "shared"], True) == ["a"] and ids(["apple"], False) == []
-    assert index.index().statistics.first().asDict() == {"n": 2, "total": 5}
-    assert index.delete_document("a") is True and index.delete_document("a") is False
-    assert index.get_document("b") == b"banana shared" and index.get_document("a") is None
+    assert ids(["sail", "chain"], True) == ["ship"] and ids(["anchor"], False) == [] and ids(["CHAIN"], True) == ["dock", "ship"]
+    assert kept(index) == {"n": 2, "total": 5}
+    index.put_document("ship", "sail 帆 sail sail".encode())
+    index.put_document("blank", b"")
+    assert kept(index) == {"n": 3, "total": 6} and ids(["chain"], False) == ["dock"] and ids(["帆"], False) == ["ship"]
+    assert index.delete_document("ship") is True and index.delete_document("ship") is False
+    assert index.get_document("dock") == b"crane chain" and index.get_document("ship") is None
+    assert kept(index) == {"n": 2, "total": 2} and ids(["sail"], False) == []
+    for _ in range(2):
+        store.flush()
+        store.compact_level(0)
+    assert kept(index) == {"n": 2, "total": 2}
     with pytest.raises(InvalidInput):
         index.put_document("c", b"\xff")
     with pytest.raises(InvalidInput):
-        index.write_batch([Put(b"ordinary", b"x"), Put(RESERVED + b"x", b"y")])
+        index.write_batch([Put(b"free", b"x"), Put(RESERVED + b"x", b"y")])
     with pytest.raises(InvalidInput):
         index.get(META)
-    index.put(b"ordinary", b"x")
-    assert rows(index.scan()) == [(b"ordinary", b"x")]
-    assert [r["doc_id"] for r in DocumentStore.open(Store.open(spark, store.root)).search_ranked(["banana"], every=False).collect()] == ["b"]
+    index.put(b"free", b"x")
+    assert rows(index.scan()) == [(b"free", b"x")]
+    assert [r["doc_id"] for r in DocumentStore.open(Store.open(spark, store.root)).search_ranked(["crane"], every=False).collect()] == ["dock"]
+
+
+def test_a_table_of_documents(spark, tmp_path):
+    from siltstone.operators import fulltext as ft
+
+    index = DocumentStore.open(Store.open(spark, str(tmp_path / "s")))
+    texts = {f"d{i:03d}": " ".join(f"w{(i * k) % 13}" for k in range(i % 9)) for i in range(120)}
+    table = spark.createDataFrame([(0, i, t) for i, t in texts.items()], "pos int, doc_id string, document string")
+    index.apply_documents(table)
+    more = [(1, "d005", "changed w1"), (0, "d005", "w2"), (1, "d006", None), (1, "new", "w1 w1"), (1, "none", None)]
+    index.apply_documents(spark.createDataFrame(more, table.schema))
+    texts |= {"d005": "changed w1", "new": "w1 w1"}
+    del texts["d006"]
+    kept(index)
+    plain = ft.build(spark.createDataFrame(list(texts.items()), "doc_id string, document string"))
+    for every in (True, False):
+        want = ft.search_ranked(plain, ["w1", "w4"], every=every, limit=20).collect()
+        assert index.search_ranked(["w1", "w4"], every=every, limit=20).collect() == want and want
+        assert index.search(["w1 w4"], every=every, limit=7).collect() == ft.search(plain, ["w1", "w4"], every=every, limit=7).collect()
+    with pytest.raises(InvalidInput):
+        index.apply_documents(spark.createDataFrame([(1, "", "x")], table.schema))
 
 
-@pytest.mark.parametrize("meta", [bytes([1, 1]), bytes([1, 99]), None])
+def test_a_hit_without_document_fails_the_search(spark, tmp_path):
+    index = DocumentStore.open(Store.open(spark, str(tmp_path / "s")))
+    index.put_documents([("x", b"word"), ("y", b"word")])
+    index.store.delete(DOCUMENT + b"x")
+    for run in (index.search, index.search_ranked):
+        with pytest.raises(Exception, match="no document: x"):
+            run(["word"], every=False).collect()
+    assert {r["rule"] for r in index.verify().collect()} == {"posting", "length"}
+
+
+@pytest.mark.parametrize("meta", [bytes([1, 1]), bytes([2, 1]), bytes([3, 99]), None])
 def test_document_versions(spark, tmp_path, meta):
     store = Store.open(spark, str(tmp_path / "s"))
     store.put(DOCUMENT + b"x", b"orphan") if meta is None else store.put(META, meta)
@@ -311,13 +361,13 @@ def test_document_versions(spark, tmp_path, meta):
 @pytest.mark.parametrize(
     ("line", "want"),
     [
-        ('BATCH SET "key one" "value one" DELETE old SET x y', ("BATCH", 3)),
-        ("DEL k", ("DELETE", 1)),
-        ("set k v", ("SET", 2)),
-        ('FTS RANK AND "café 東京"', ("RANK", 2)),
-        ("fts or a b c", ("SEARCH", 2)),
-        ('SET a"b"', ("SET", 2)),
-        ("quit", ("EXIT", 0)),
+        ('batch set k1 "a b" DELETE k2 Set k3 v delete k4', ("BATCH", 4)),
+        ("del lighthouse", ("DELETE", 1)),
+        ("Set 'two words' \\n", ("SET", 2)),
+        ('fts rank or "harbour Ω"', ("RANK", 2)),
+        ("FTS AND tide table", ("SEARCH", 2)),
+        ("set k'v'", ("SET", 2)),
+        ("exit", ("EXIT", 0)),
     ],
 )
 def test_commands(line, want):
@@ -339,16 +389,28 @@ def test_session(spark, tmp_path):
     root = str(tmp_path / "s")
     out = io.StringIO()
     engine = DocumentStore.open(Store.open(spark, root))
-    repl.run(engine, io.StringIO('SET raw-key "value with spaces 世界"\n\nDOC PUT doc-1 "Café 東京 text"\nFTS RANK OR "東京"\nnope\nEXIT\nGET x\n'), out)
-    assert out.getvalue().splitlines() == ["OK", "OK", r"0.287682	doc-1	Caf\u{e9} \u{6771}\u{4eac} text", "ERR unknown command: nope", "bye"]
+    lines = ['set "tide table" "höchste Flut"', "", "doc put log 'Öl on deck'", "fts rank and deck", "fts or öl", "jump", "quit", "GET x"]
+    repl.run(engine, io.StringIO("\n".join(lines)), out)
+    assert out.getvalue().splitlines() == ["OK", "OK", r"0.287682	log	\u{d6}l on deck", r"log	\u{d6}l on deck", "ERR unknown command: jump", "bye"]
     again = DocumentStore.open(Store.open(spark, root))
-    assert command.respond(again, "GET raw-key") == "value with spaces 世界"
-    assert command.respond(again, "FTS AND nothing") == "(no results)"
+    assert command.respond(again, "GET 'tide table'") == "höchste Flut"
+    assert command.respond(again, "FTS AND absent") == "(no results)"
     assert command.respond(again, "DOC DELETE none") == "OK" and command.respond(again, "GET none") == "(nil)"
     with pytest.raises(StorageError, match="unsupported"):
         command.execute(again.store, command.parse("DOC GET x"))
 
 
+def test_command_line():
+    folder, level, settings = repl.options(["-d", "/x", "--memtable-size-mb", "8", "--bloom-fp-rate", "0.1", "-v"])
+    assert (folder, level) == ("/x", "DEBUG")
+    assert (settings.memtable_size_threshold, settings.bloom_false_positive_rate) == (8 << 20, 0.1)
+    assert repl.options(["/y"]) == ("/y", "ERROR", Settings())
+    with pytest.raises(InvalidInput):
+        repl.options(["--max-level0-files", "0"])
+    with pytest.raises(SystemExit):
+        repl.options(["--log-level", "loud"])
+
+
 def test_unknown_format(spark, tmp_path):
     root = str(tmp_path / "s")
     Store.open(spark, root)
