@@ -6,11 +6,15 @@ repeated and late changes alter nothing; deletes stay as tombstones, or an older
 put arriving later would bring the key back. The same upsert runs twice: first
 over whatever rows a task has, which leaves at most one row per key and task to
 shuffle however hot a key is, then once per bucket of keys. The buckets' results
-are published at once under a renamed pointer.
+are published at once. A later feed is applied onto the published state: its rows are
+upserted like changes, so what was stored in an earlier run holds against late ones.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.sources.shared import PublishedTable, stacked
+from siltstone.sources.shared import PublishedTable, checkpointed, stacked
 
 PUT, DELETE = 1, 2
 
@@ -36,6 +40,8 @@ STATE = T.StructType(
 STATEMENT_ROWS, STATEMENT_BYTES = 100_000, 32 << 20
 #: Keys and value bytes that a task keeps before the first, unbucketed pass hands on what it has.
 LOCAL_KEYS, LOCAL_BYTES = 250_000, 64 << 20
+#: Changes and bytes of a bucket; memory of a task's database, beyond which it spills.
+BUCKET_ROWS, BUCKET_BYTES, MEMORY = 500_000, 256 << 20, "1GB"
 
 _CREATE = """
 create or replace table state
@@ -78,7 +84,9 @@ def _upserts(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(":memory:", config={"threads": 1})
+        # spilled to the folder that Spark gave its executor for such files
+        spill = f"{os.environ.get('SPARK_LOCAL_DIRS', os.getcwd()).split(',')[0]}/duckdb-{uuid.uuid4().hex}"
+        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill})
         db.execute(_CREATE)
 
         def export() -> Iterator[pa.RecordBatch]:
@@ -99,30 +107,42 @@ def _upserts(whole: bool):
                 taken = 0
         yield from export()
         db.close()
+        shutil.rmtree(spill, ignore_errors=True)
 
     return run
 
 
+#: Bytes of transaction ids that are broadcast at most.
+COMMIT_BYTES = 32 << 20
+
+
 def committed_changes(changes: DataFrame, commits: DataFrame | None) -> DataFrame:
     """Changes outside transactions and those of committed transactions.
 
     Rows without transaction skip the join: as null keys they would all meet in one
-    task of it.
+    task of it. The ids of committed transactions are counted first; while they are no
+    more than ``COMMIT_BYTES`` they are broadcast and no value is shuffled.
     """
     if commits is None:
         return changes
-    done = commits.where(F.col("txn_id").isNotNull()).select("txn_id").distinct()
+    done = checkpointed(commits.where(F.col("txn_id").isNotNull()).select("txn_id").distinct())
+    if done.count() * 16 <= COMMIT_BYTES:
+        done = F.broadcast(done)
     within = changes.where(F.col("txn_id").isNotNull()).join(done, "txn_id", "left_semi")
     return stacked(changes.where(F.col("txn_id").isNull()), within.select(*changes.columns))
 
 
-def bucket_count(rows: int, bucket_rows: int = 500_000) -> int:
-    """Buckets so that each gets about ``bucket_rows`` changes."""
-    return max(8, -(-rows // bucket_rows))
+def bucket_count(rows: int, size: int = 0) -> int:
+    """Buckets so that each gets about ``BUCKET_ROWS`` changes and ``BUCKET_BYTES`` at most."""
+    return max(8, -(-rows // BUCKET_ROWS), -(-size // BUCKET_BYTES))
 
 
 def apply_changes(
-    changes: DataFrame, commits: DataFrame | None = None, *, buckets: int | None = None
+    changes: DataFrame,
+    commits: DataFrame | None = None,
+    *,
+    onto: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """State after all changes: key, lsn, op, value and bucket, tombstones included.
 
@@ -131,21 +151,34 @@ def apply_changes(
     delete before a put of equal lsn, then the larger value. A row with null key,
     null lsn or an op other than put and delete is no change. An empty key is a
     key, an empty value a value. Repeated rows and empty tables are fine.
+
+    ``onto`` is the state that an earlier call gave. A feed in any number of parts, in
+    any order, gives the state of the whole feed; a change counts if its transaction is
+    in the commits of the call that it comes with.
     """
     feed = changes.where(
         F.col("key").isNotNull() & F.col("lsn").isNotNull() & F.col("op").isin(PUT, DELETE)
     )
+    size = F.coalesce(F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))), F.lit(0))
     if buckets is None:
-        buckets = bucket_count(changes.select("lsn").count())
+        parts = [feed] if onto is None else [feed, onto]
+        sums = [df.agg(F.count("*"), size).first() for df in parts]
+        buckets = bucket_count(sum(r[0] for r in sums), sum(r[1] for r in sums))
     need = ["key", "lsn", "op", "value"] + (["txn_id"] if commits is not None else [])
-    feed = committed_changes(feed.select(*need), commits).select(
-        F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"),  # the partition it gets below
-        "key",
-        F.col("lsn").cast("long").alias("lsn"),
-        F.col("op").cast("byte").alias("op"),
-        "value",
-    )
-    local = feed.mapInArrow(_upserts(whole=False), STATE)
+    feed = committed_changes(feed.select(*need), commits)
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.select(
+            F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"),  # the partition it gets below
+            "key",
+            F.col("lsn").cast("long").alias("lsn"),
+            F.col("op").cast("byte").alias("op"),
+            "value",
+        )
+
+    local = bucketed(feed).mapInArrow(_upserts(whole=False), STATE)
+    if onto is not None:  # one row per key already
+        local = stacked(bucketed(onto), local)
     return local.repartition(buckets, "key").mapInArrow(_upserts(whole=True), STATE)
 
 

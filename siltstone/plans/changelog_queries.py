@@ -7,8 +7,9 @@ engines compare the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siltstone.functions.bytes import bloom_contains
 from siltstone.operators import changelog as cl
@@ -19,8 +20,12 @@ from siltstone.sources.shared import read_table, stacked
 AS_OF = 1_010_000
 #: A sequence number at which the hottest key is live.
 EARLY = 1_001_000
-LOW, HIGH, PREFIX = b"acct/4", b"caf\xc3\xa9/9", b"sess:"
-HOT = b"lease/leader"
+#: Both bounds are live keys of the tables at every scale, so that it shows whether they are included.
+LOW, HIGH, PREFIX = b"acct/d062c40a81/bal", b"caf\xc3\xa9/f1e4c0e999", b"sess:"
+#: The hottest key, one that is live at the end of the log and one that was put and deleted.
+HOT, LIVE, DEAD = b"lease/leader", b"doc0056208512005", b"doc0005774232546"
+#: Keys whose rows some queries tamper with, to see that the damage is found.
+TAMPERED, LOST = b"acct/", b"sess:"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +94,9 @@ def kv_scan_asof(spark, sf_dir):
     return _pairs(cl.scan(_log(spark, sf_dir), lsn=AS_OF))
 
 
-@_query("kv_get_point", _latest_sql(f"and key = {_blob(HOT)}"))
+@_query("kv_get_point", _latest_sql(f"and key = {_blob(LIVE)}"))
 def kv_get_point(spark, sf_dir):
-    return _pairs(cl.point_get(_log(spark, sf_dir), HOT))
+    return _pairs(cl.point_get(_log(spark, sf_dir), LIVE))
 
 
 @_query("kv_get_point_asof", _latest_sql(f"and lsn <= {EARLY} and key = {_blob(HOT)}"))
@@ -99,17 +104,22 @@ def kv_get_point_asof(spark, sf_dir):
     return _pairs(cl.point_get(_log(spark, sf_dir), HOT, lsn=EARLY))
 
 
-@_query("kv_get_deleted", _latest_sql(f"and key = {_blob(HOT)} and op = 2"))
+@_query(
+    "kv_get_deleted",
+    f"""
+select hex({_blob(DEAD)}) as key_hex, count(*) filter (where record_type = 1) as n_puts,
+    count(*) filter (where record_type = 2) as n_deletes, 0::bigint as n_found
+from wal_records where key = {_blob(DEAD)}
+""",
+)
 def kv_get_deleted(spark, sf_dir):
-    """The hottest key as of its last delete: over the whole log, the delete hides the puts before it.
-
-    Empty, as is the SQL, which reads the deletes alone.
-    """
+    """A key that was put and deleted: how often, and that a read of the whole log finds nothing."""
     log = _log(spark, sf_dir)
-    deleted = log.where((F.col("key") == F.lit(HOT)) & (F.col("op") == 2)).agg(F.max("lsn")).first()[0]
-    if deleted is None:  # never deleted: nothing is hidden
-        log, deleted = log.limit(0), 0
-    return _pairs(cl.point_get(log, HOT, lsn=deleted))
+    counts = log.where(F.col("key") == F.lit(DEAD)).agg(
+        F.count(F.when(F.col("op") == 1, 1)).alias("n_puts"), F.count(F.when(F.col("op") == 2, 1)).alias("n_deletes")
+    )
+    found = cl.point_get(log, DEAD).agg(F.count("*").alias("n_found"))
+    return counts.crossJoin(found).select(F.lit(DEAD.hex().upper()).alias("key_hex"), "*")  # a row each
 
 
 def _range_query(name: str, low: Bound, high: Bound, where: str) -> None:
@@ -166,8 +176,6 @@ with ops as (
 )
 def kv_batch_last_op_wins(spark, sf_dir):
     """Segments taken as batches in order of arrival: the last operation on a key holds."""
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy("segment_id").orderBy("arrival_no")) - 1
     batches = (
         _log(spark, sf_dir)
@@ -199,8 +207,6 @@ where txn_id is null or txn_id in (select txn_id from wal_commits where txn_id i
 )
 def kv_replay_positions(spark, sf_dir):
     """Committed changes with their place in the replay of each segment."""
-    from pyspark.sql import Window as W
-
     done = cl.committed_only(_log(spark, sf_dir), read_table(spark, sf_dir, "wal_commits"))
     order = W.partitionBy("segment_id").orderBy("lsn", F.asc_nulls_first("pos"), "arrival_no")
     return done.select(
@@ -214,11 +220,25 @@ def kv_flush_image(spark, sf_dir):
     return _versions(cl.flush_image(_log(spark, sf_dir)))
 
 
-@_query("kv_flush_gaps", "select hex(key) as key_hex, lsn, record_type::int as op from wal_records where false")
+def _begins(prefix: bytes) -> Column:
+    return F.hex("key").startswith(prefix.hex().upper())
+
+
+def _sql_begins(prefix: bytes) -> str:
+    return f"hex(key) like '{prefix.hex().upper()}%'"
+
+
+@_query(
+    "kv_flush_gaps",
+    _latest_sql(out=f"select hex(key) as key_hex, lsn, op::int as op from held where {_sql_begins(LOST)} or {_sql_begins(TAMPERED)}"),
+)
 def kv_flush_gaps(spark, sf_dir):
-    """The coverage test of a flush: no rows."""
+    """A flush image that lacks some keys and holds other values for some: all of them are gaps."""
     log = _log(spark, sf_dir)
-    return cl.coverage_gaps(log, cl.flush_image(log)).select(
+    image = cl.flush_image(log).where(~_begins(LOST))
+    altered = F.concat(F.coalesce("value", F.lit(b"")), F.lit(b"!"))
+    image = image.withColumn("value", F.when(_begins(TAMPERED), altered).otherwise(F.col("value")))
+    return cl.coverage_gaps(log, image).select(
         F.hex("key").alias("key_hex"), "lsn", F.col("op").cast("int").alias("op")
     )
 
@@ -255,15 +275,24 @@ def kv_tombstone_reclaim(spark, sf_dir):
 
 
 @_query(
-    "kv_overlap_pairs",
+    "kv_overlaps",
     """
-with r as (select file_id, min(key) as lo, max(key) as hi from level_records group by file_id)
-select a.file_id as left_id, b.file_id as right_id from r a join r b
-on a.file_id < b.file_id and a.lo <= b.hi and b.lo <= a.hi
+with r as (select file_id, min(key) as lo, max(key) as hi from level_records group by file_id),
+n as (
+    select a.file_id, count(b.file_id) as n_overlapping from r a left join r b
+    on a.file_id <> b.file_id and a.lo <= b.hi and b.lo <= a.hi group by a.file_id
+), s as (
+    select *, max(hi) over (order by lo, file_id rows between unbounded preceding and 1 preceding) as reach from r
+), g as (
+    select file_id, sum(case when reach is null or reach < lo then 1 else 0 end)
+        over (order by lo, file_id rows unbounded preceding)::bigint as group_id from s
+)
+select * from n join g using (file_id)
 """,
 )
-def kv_overlap_pairs(spark, sf_dir):
-    return cl.overlapping_files(cl.key_ranges(_files(spark, sf_dir)))
+def kv_overlaps(spark, sf_dir):
+    """How many files each overlaps, and the group that it overlaps through one another."""
+    return cl.overlaps(cl.key_ranges(_files(spark, sf_dir)))
 
 
 @_query(
@@ -336,20 +365,15 @@ def kv_key_range(spark, sf_dir):
     )
 
 
-@_query(
-    "kv_manifest_mismatch",
-    """
-with r as (select file_id, min(key) as lo, max(key) as hi, count(*) as n from level_records group by file_id)
-select file_id from r full join manifest using (file_id)
-where lo is distinct from smallest_key or hi is distinct from largest_key or n is distinct from record_count
-""",
-)
+@_query("kv_manifest_mismatch", "select file_id from manifest where level <> 1")
 def kv_manifest_mismatch(spark, sf_dir):
-    """Files whose records contradict the manifest."""
+    """A manifest with wrong counts for level 0 and without the files below level 1: all are found."""
     have = cl.key_ranges(_files(spark, sf_dir)).withColumnsRenamed(
         {"smallest_key": "lo", "largest_key": "hi", "record_count": "n"}
     )
-    said = read_table(spark, sf_dir, "manifest")
+    said = read_table(spark, sf_dir, "manifest").where("level < 2").withColumn(
+        "record_count", F.when(F.col("level") == 0, F.col("record_count") + 1).otherwise(F.col("record_count"))
+    )
     same = (
         F.col("lo").eqNullSafe(F.col("smallest_key"))
         & F.col("hi").eqNullSafe(F.col("largest_key"))
@@ -358,21 +382,29 @@ def kv_manifest_mismatch(spark, sf_dir):
     return have.join(said, "file_id", "full_outer").where(~same).select("file_id")
 
 
-@_query("kv_bad_checksums")
+@_query(
+    "kv_bad_checksums", f"select arrival_no from wal_records where value is not null and {_sql_begins(TAMPERED)}"
+)
 def kv_bad_checksums(spark, sf_dir):
-    """Values that do not have the CRC32 written with them; no rows in sound data."""
-    return cl.bad_checksums(_log(spark, sf_dir)).select("arrival_no")
+    """Values that do not have the CRC32 written with them: those that were tampered with."""
+    altered = F.when(_begins(TAMPERED), F.concat("value", F.lit(b"!"))).otherwise(F.col("value"))
+    return cl.bad_checksums(_log(spark, sf_dir).withColumn("value", altered)).select("arrival_no")
 
 
 @_query(
     "kv_value_refs",
-    "select hex(key) as key_hex, md5(value) as value_md5, true as ok from wal_records where value is not null",
+    f"""
+select hex(key) as key_hex, case when ok then md5(value) end as value_md5, ok from (
+    select *, not ({_sql_begins(TAMPERED)} or {_sql_begins(LOST)}) as ok from wal_records where value is not null
+)
+""",
 )
 def kv_value_refs(spark, sf_dir):
-    """Values kept apart from the index, resolved by reference and checked."""
+    """Values kept apart from the index, resolved by reference: some are damaged, some lost."""
     log = _log(spark, sf_dir).where(F.col("value").isNotNull())
     index = log.select("key", F.col("arrival_no").alias("ref"))
-    values = log.select(F.col("arrival_no").alias("ref"), "value", "checksum")
+    altered = F.when(_begins(TAMPERED), F.concat("value", F.lit(b"!"))).otherwise(F.col("value"))
+    values = log.where(~_begins(LOST)).select(F.col("arrival_no").alias("ref"), altered.alias("value"), "checksum")
     return cl.resolve_references(index, values).select(
         F.hex("key").alias("key_hex"), F.md5("value").alias("value_md5"), "ok"
     )

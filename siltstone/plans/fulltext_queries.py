@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.bm25 import Bm25Config
 from siltstone.functions.text import query_terms, tokens
 from siltstone.operators import fulltext as ft
-from siltstone.sources.shared import read_table, spread, stacked
+from siltstone.sources.shared import (
+    file_versions, read_table, read_text, remove, replace_text, shared_dir, spread, stacked,
+)
 
 COMMON, PAIR, RARE, MISSING = ["the"], ["the", "bill"], ["pilots", "<|endoftext|>"], ["qzxqzx"]
 
@@ -60,9 +64,21 @@ def _index(spark: SparkSession, sf_dir: str) -> ft.Index:
     return ft.build(_docs(spark, sf_dir))
 
 
+def _saved_index(spark: SparkSession, sf_dir: str) -> ft.Index:
+    """The index of the documents, written once for an application and its table's files."""
+    files = file_versions(read_table(spark, sf_dir, "documents"))
+    name = hashlib.md5(repr(files).encode()).hexdigest()
+    folder = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/index-{name}"
+    if read_text(spark, f"{folder}/DONE") is None:
+        remove(spark, folder)
+        ft.save(_index(spark, sf_dir), folder)
+        replace_text(spark, f"{folder}/DONE", "")
+    return ft.load(spark, folder)
+
+
 @_query("fts_tokens", "select * from postings")
 def fts_tokens(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.select("doc_id", "term", "tf")
 
 
 @_query("fts_doc_len", "select * from lens")
@@ -123,7 +139,7 @@ def _bool(name: str, words: list[str], terms: list[str], every: bool, limit: int
     @_query(name, _bool_sql(terms, every, limit))
     def run(spark, sf_dir):
         if index:
-            return ft.search(_index(spark, sf_dir), words, every=every, limit=limit)
+            return ft.search(_saved_index(spark, sf_dir), words, every=every, limit=limit)
         return ft.search_texts(_docs(spark, sf_dir), words, every=every, limit=limit)
 
 
@@ -131,6 +147,7 @@ _bool("fts_and", PAIR, PAIR, True)
 _bool("fts_or", PAIR, PAIR, False)
 _bool("fts_and_index", PAIR, PAIR, True, index=True)
 _bool("fts_or_index", PAIR, PAIR, False, index=True)
+_bool("fts_or_index_limit", PAIR, PAIR, False, 100, index=True)
 _bool("fts_and_limit", PAIR, PAIR, True, 10)
 _bool("fts_or_limit", PAIR, PAIR, False, 100)
 _bool("fts_missing", MISSING, MISSING, False)
@@ -165,7 +182,7 @@ def _rank(name: str, words: list[str], every: bool, limit: int | None, k1=1.2, b
     def run(spark, sf_dir):
         settings = {"every": every, "limit": limit, "config": Bm25Config(k1, b)}
         found = (
-            ft.search_ranked(_index(spark, sf_dir), words, **settings)
+            ft.search_ranked(_saved_index(spark, sf_dir), words, **settings)
             if index
             else ft.rank_texts(_docs(spark, sf_dir), words, **settings)
         )
@@ -176,6 +193,8 @@ _rank("fts_rank_and", PAIR, True, None)
 _rank("fts_rank_or", PAIR, False, None)
 _rank("fts_rank_and_index", PAIR, True, None, index=True)
 _rank("fts_rank_or_index", PAIR, False, None, index=True)
+_rank("fts_rank_index_top10", PAIR, False, 10, index=True)
+_rank("fts_rank_index_and_top100", PAIR, True, 100, index=True)
 _rank("fts_rank_top1", PAIR, False, 1)
 _rank("fts_rank_top10", PAIR, False, 10)
 _rank("fts_rank_top100", PAIR, False, 100)

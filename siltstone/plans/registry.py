@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import changelog_queries, fulltext_queries, upsert_queries
+from siltstone.plans import changelog_queries, fulltext_queries, store_queries, upsert_queries
 
-_MODULES = [upsert_queries, changelog_queries, fulltext_queries]
+_MODULES = [upsert_queries, changelog_queries, fulltext_queries, store_queries]
 
 
 def queries() -> dict:

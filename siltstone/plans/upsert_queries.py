@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     wal = read_table(spark, sf_dir, "wal_records").withColumnRenamed("record_type", "op")
     commits = read_table(spark, sf_dir, "wal_commits")
     state = upsert.apply_changes(wal, commits)
-    return upsert.publish_state(state, scratch_table(spark, "wal_state"))
+    return upsert.publish_state(state, scratch_table(spark, f"wal_state-{uuid.uuid4().hex}"))  # one per call
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole rebuilt table with tombstones and the md5 of each value."""
-    return _state(spark, sf_dir).select(
+    return shown(_state(spark, sf_dir))
+
+
+def shown(state: DataFrame) -> DataFrame:
+    return state.select(
         F.hex("key").alias("key_hex"), "lsn", F.col("op").cast("int").alias("op"),
         F.md5("value").alias("value_md5"),
     )

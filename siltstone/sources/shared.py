@@ -65,22 +65,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_versions(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, bytes and time of change of each file that a frame reads."""
+    out = []
+    for path in sorted(df.inputFiles()):
+        jvm, fs = _fs(df.sparkSession, path)
+        status = fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(path))
+        out.append((path, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A file scan with at least one task per core.
 
     Where a table's few files make fewer splits than the session has cores, its rows
-    are dealt out once, for work that costs more than that shuffle. A table with
-    enough files or bytes is left as it is.
+    are dealt out once, for work that costs more than that shuffle. This is a matter of
+    layout alone, for small tables; one with enough files or bytes is left as it is.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     files = df.inputFiles()
     if not files or len(files) >= cores:
         return df
-    size = 0
-    for path in files:
-        jvm, fs = _fs(spark, path)
-        size += fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(path)).getLen()
+    size = sum(n for _, n, _ in file_versions(df))
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 

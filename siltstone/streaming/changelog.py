@@ -50,15 +50,19 @@ def newest_versions(changes: DataFrame) -> DataFrame:
     """
     fields = "key binary, lsn bigint, op int, value binary"
 
+    def rank(v: tuple) -> tuple:
+        return v[0], v[1], v[2] is not None, v[2] or b""
+
     def update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         best = held
         for pdf in pdfs:
-            for lsn, op, value in zip(pdf["lsn"], pdf["op"], pdf["value"]):
-                one = (int(lsn), int(op), None if value is None else bytes(value))
-                rank = (one[0], one[1], one[2] is not None, one[2] or b"")
-                if best is None or rank > (best[0], best[1], best[2] is not None, best[2] or b""):
-                    best = one
+            top = pdf[pdf["lsn"] == pdf["lsn"].max()]
+            top = top[top["op"] == top["op"].max()]  # as a rule one row is left
+            values = [None if v is None else bytes(v) for v in top["value"]]
+            one = max(((int(top["lsn"].iat[0]), int(top["op"].iat[0]), v) for v in values), key=rank)
+            if best is None or rank(one) > rank(best):
+                best = one
         if best != held:
             state.update(best)
             yield pd.DataFrame({"key": [key[0]], "lsn": [best[0]], "op": [best[1]], "value": [best[2]]})

@@ -66,3 +66,31 @@ def test_publication_is_whole(spark, tmp_path):
     assert table.read().count() == 5 and old.count() == 3
     with pytest.raises(StorageError):
         table.publish(spark.range(1), expected=first)
+
+
+def test_a_feed_in_parts_gives_the_whole_state(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(b"k%d" % rng.randrange(40), rng.randrange(200), rng.choice([1, 1, 2]), b"v%d" % rng.randrange(5), None, "") for _ in range(900)]
+    rows = [(k, n, op, None if op == 2 else v, t, c) for k, n, op, v, t, c in rows]
+    table = PublishedTable(spark, str(tmp_path / "t"))
+    table.publish(upsert.apply_changes(spark.createDataFrame(rows[:1], SCHEMA), buckets=3))
+    for a, b in ((1, 300), (300, 301), (200, 900)):  # a part comes twice
+        part = spark.createDataFrame(rows[a:b], SCHEMA)
+        table.publish(upsert.apply_changes(part, onto=table.read()), expected=table.current()["generation"])
+    got = {bytes(r["key"]): (r["lsn"], r["op"]) for r in table.read().collect()}
+    assert got == {k: r[:2] for k, r in model(rows, set()).items()}
+
+
+def test_large_values_spill(spark, monkeypatch):
+    monkeypatch.setattr(upsert, "MEMORY", "40MB")
+    rows = spark.range(3000).selectExpr(
+        "cast(cast(id % 1500 as string) as binary) as key", "id as lsn", "1 as op",
+        "cast(repeat(cast(id % 10 as string), 40000) as binary) as value",
+    )
+    got = upsert.apply_changes(rows, buckets=1)
+    assert got.where("length(value) = 40000 and lsn >= 1500").count() == 1500
+
+
+def test_buckets_by_rows_and_bytes():
+    assert upsert.bucket_count(0) == 8 and upsert.bucket_count(10**8) == 200
+    assert upsert.bucket_count(1000, 100 << 30) == 400
