@@ -10,20 +10,27 @@ wrong with a probability of about 2^-bits, and claims are checked: the rate of w
 ones is measured, not assumed. Sealed partitions of similar size are merged, so a
 key is looked up in a number of them that grows with the logarithm of the batches.
 
-Keys are spread over buckets by hash, and a bucket holds each key at most once per
-batch, so a key in a third of all records is no hotter than any other. The Python
-side sees two 64-bit hashes, never the keys.
+Keys are spread over buckets by hash, a task for each, and a bucket holds each key at
+most once per batch, so a key in a third of all records is no hotter than any other.
+The Python side sees two 64-bit hashes, never the keys. Whether two different keys
+share both hashes is looked for within the buckets; such keys are decided by their bytes.
+
+``SealedKeys`` keeps the sealed partitions of a bucket in a table, for records that
+come later: they are answered from perfect hashes and fingerprints alone.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.shared import checkpointed, stacked
+from siltstone.errors import InvalidInput
+from siltstone.sources.shared import PublishedTable, checkpointed, stacked
 
 #: The batch of keys that stood in sealed files before the first record.
 FILES = -1
@@ -129,7 +136,7 @@ def _distinct(at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 LOOKED_UP = (
-    "key binary, batch int, record_id long, claimed int, lookups int, wrong int, sealed_keys long, "
+    "batch int, record_id long, h1 long, h2 long, claimed int, lookups int, wrong int, sealed_keys long, "
     "sealed_bytes long"
 )
 
@@ -173,14 +180,11 @@ def _bucket_lookup(bits: int):
         held, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
         shown = np.flatnonzero(batch != FILES)[-1:]
         held[shown], sizes[shown] = sum(len(s.at) for s in sealed), size
-        unclaimed = pa.array(claimed == np.iinfo(np.int32).min)
         claimed = pa.array(claimed, mask=claimed == np.iinfo(np.int32).min)
-        # a new key needs no comparison of bytes, so it goes no further
-        keys = pc.if_else(unclaimed, pa.scalar(None, table.schema.field("key").type), table.column("key"))
         out = pa.table(
-            [keys, table.column("batch"), table.column("record_id"), claimed,
+            [*(table.column(c) for c in ("batch", "record_id", "h1", "h2")), claimed,
              pa.array(lookups), pa.array(wrong), pa.array(held), pa.array(sizes)],
-            names=["key", "batch", "record_id", "claimed", "lookups", "wrong", "sealed_keys", "sealed_bytes"],
+            names=["batch", "record_id", "h1", "h2", "claimed", "lookups", "wrong", "sealed_keys", "sealed_bytes"],
         )
         return out.filter(pc.not_equal(out.column("batch"), FILES))
 
@@ -225,41 +229,45 @@ def lookup(
     bucket_rows: int = 150_000,
     fingerprint_bits: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
-    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys.
+    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys by bucket.
 
-    Without ``batch_rows`` batches are of ``batch_size``.
+    Without ``batch_rows`` batches are of ``batch_size``. There are buckets for all rows,
+    should all their keys differ, and the keys are written out by bucket: what groups by
+    bucket afterwards moves nothing.
     """
     if batch_rows is None:
         batch_rows = batch_size(records)
-    keys = checkpointed(batch_keys(records, files, batch_rows))
-    buckets = max(8, -(-keys.count() // bucket_rows))
-    hashed = keys.select(
-        "key", "batch", "record_id",
-        F.xxhash64("key").alias("h1"),
-        F.xxhash64(F.lit(7), "key").alias("h2"),
-    ).withColumn("bucket", F.pmod(F.hash("h2"), F.lit(buckets)))
-    looked = hashed.groupBy("bucket").applyInArrow(_bucket_lookup(fingerprint_bits), LOOKED_UP)
+    buckets = max(8, -(-(records.count() + files.count()) // bucket_rows))
+    hashed = batch_keys(records, files, batch_rows).select("key", "batch", "record_id", *_hashes(buckets))
+    keys = checkpointed(hashed.repartition(buckets, "bucket"))
+    looked = keys.drop("key").groupBy("bucket").applyInArrow(_bucket_lookup(fingerprint_bits), LOOKED_UP)
     return checkpointed(looked), keys
 
 
+def _hashes(buckets: int) -> list[Column]:
+    """Both hashes of a key and its bucket."""
+    h1, h2 = F.xxhash64("key"), F.xxhash64(F.lit(7), "key")
+    return [h1.alias("h1"), h2.alias("h2"), F.pmod(F.hash(h2), F.lit(buckets)).alias("bucket")]
+
+
 def new_keys(looked: DataFrame, keys: DataFrame) -> DataFrame:
     """Record ids of the rows at which a key stands for the first time.
 
-    Claims are compared byte for byte: a claim is right if its key stood in the
-    batch that it names. Wrong ones, which 128 equal bits of hash make all but
-    impossible, are decided by all batches of their key.
+    A lookup decides by 128 bits of hash. Hashes that different keys share, which there
+    are none of as a rule, are found by comparing the bytes of all keys of a bucket;
+    those keys are then decided by all batches that they stand in.
     """
-    claims = looked.where(F.col("claimed").isNotNull()).select("key", "batch", "record_id", "claimed")
-    stood = keys.select("key", F.col("batch").alias("claimed"))
-    refuted = claims.join(stood, ["key", "claimed"], "left_anti")
-    first = (
-        keys.select("key", F.col("batch").alias("other"))
-        .join(refuted.select("key", "batch", "record_id"), "key")
-        .groupBy("key", "batch", "record_id")
-        .agg(F.min("other").alias("first"))
-        .where(F.col("first") == F.col("batch"))
-    )
-    return stacked(looked.where(F.col("claimed").isNull()).select("record_id"), first.select("record_id"))
+    same = ["bucket", "h1", "h2"]
+    shared = keys.groupBy(*same).agg(F.min("key").alias("a"), F.max("key").alias("b")).where(F.col("a") != F.col("b"))
+    shared = checkpointed(shared.select(*same))
+    new = looked.where(F.col("claimed").isNull())
+    if not shared.limit(1).count():
+        return new.select("record_id")
+    # a key of the files has a null id in batch -1, before all others
+    first = F.min(F.struct("batch", "record_id"))["record_id"].alias("record_id")
+    decided = keys.join(shared, same, "left_semi").groupBy("key").agg(first).select("record_id")
+    others = new.join(shared.select("h1", "h2"), ["h1", "h2"], "left_anti").select("record_id")
+    return stacked(others, decided.where(F.col("record_id").isNotNull()))
 
 
 def seen_before(records: DataFrame, files: DataFrame, **settings) -> DataFrame:
@@ -295,3 +303,120 @@ def wrong_rate(records: DataFrame, files: DataFrame, **settings) -> DataFrame:
         "wrong_share",
         F.when(F.col("lookups") > 0, F.col("wrong_claims") / F.col("lookups")).otherwise(0.0),
     )
+
+
+class SealedKeys:
+    """Sealed partitions that outlive a run, in a table of the shared folder.
+
+    A row is a sealed partition of a bucket: its perfect hash with the fingerprints, and
+    apart from that the hashes of its keys, which only ``merge`` reads. A lookup is wrong
+    with a probability of 2^-bits for each partition asked, and only by taking a new key
+    for a known one; which those were can be told from ``records`` alone while they are
+    there, see ``wrong_rate``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, *, bits: int = 32, expected_keys: int = 0):
+        if not 1 <= bits <= 32:
+            raise InvalidInput("a fingerprint has 1 to 32 bits")
+        self.table = PublishedTable(spark, folder)
+        self.spark = spark
+        now = self.table.current()
+        if now is None:
+            now = {"bits": bits, "buckets": max(8, -(-expected_keys // 1_000_000))}
+            empty = spark.createDataFrame([], "bucket int, n long, body binary, hashes binary")
+            self.table.publish(empty, **now)
+        self.bits, self.buckets = now["bits"], now["buckets"]
+
+    def add(self, records: DataFrame) -> DataFrame:
+        """Record ids of rows whose key an earlier call or a row with a smaller id had.
+
+        Within the call keys are compared exactly, with those of earlier calls by
+        fingerprint. The new keys are sealed and published; a call that fails seals
+        nothing. Rows with null key or id are left out.
+        """
+        rows = records.where(F.col("key").isNotNull() & F.col("record_id").isNotNull())
+        firsts = rows.groupBy("key").agg(F.min("record_id").alias("record_id"))
+        hashed = firsts.select("record_id", *_hashes(self.buckets))
+        before = self.table.current()["generation"]
+        known = self.table.read().select("bucket", "n", "body")
+        answered = checkpointed(
+            hashed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+                _answer_and_seal(self.bits), "record_id long, seen boolean, bucket int, n long, body binary, hashes binary"
+            )
+        )
+        fresh = answered.where(F.col("body").isNotNull()).select("bucket", "n", "body", "hashes")
+        self._publish(stacked(self.table.read(), fresh), before)
+        new = answered.where(F.col("seen") == F.lit(False)).select("record_id")
+        return rows.select("record_id").join(new, "record_id", "left_anti")
+
+    def merge(self) -> None:
+        """Make one partition of each bucket's, so that a key is looked up once."""
+        before = self.table.current()["generation"]
+        merged = self.table.read().groupBy("bucket").applyInArrow(
+            _merge_sealed(self.bits), "bucket int, n long, body binary, hashes binary"
+        )
+        self._publish(merged, before)
+
+    def _publish(self, rows: DataFrame, expected: str) -> None:
+        self.table.publish(rows, expected=expected, bits=self.bits, buckets=self.buckets)
+
+
+def _packed(part: Sealed) -> bytes:
+    """The perfect hash and fingerprints of a sealed partition as bytes."""
+    arrays = {"prints": part.prints, "rest1": part.hash.rest[0], "rest2": part.hash.rest[1]}
+    for i, (m, bits, ranks, used) in enumerate(part.hash.levels):
+        arrays |= {f"bits{i}": bits, f"ranks{i}": ranks, f"head{i}": np.array([m, used], np.int64)}
+    out = io.BytesIO()
+    np.savez(out, used=np.array(part.hash.used), **arrays)
+    return out.getvalue()
+
+
+def _unpacked(body: bytes, bits: int) -> Sealed:
+    """A partition that can be asked; it knows neither its keys nor their batches."""
+    held = np.load(io.BytesIO(body))
+    part, part.hash = Sealed.__new__(Sealed), PerfectHash.__new__(PerfectHash)
+    part.bits, part.prints = bits, held["prints"]
+    part.hash.rest, part.hash.used = (held["rest1"], held["rest2"]), int(held["used"])
+    part.hash.levels = []
+    while f"bits{len(part.hash.levels)}" in held:
+        i = len(part.hash.levels)
+        m, used = held[f"head{i}"].tolist()
+        part.hash.levels.append((m, held[f"bits{i}"], held[f"ranks{i}"], used))
+    return part
+
+
+def _sealed_row(bucket: int, h1: np.ndarray, h2: np.ndarray, fresh: np.ndarray, bits: int) -> dict:
+    """A partition of the fresh keys, with the hashes of all: what a claim answered, rightly or
+    not, is a key all the same and must be known after a merge."""
+    at = _distinct(np.arange(len(h1)), h1, h2)
+    own = at[fresh[at]]
+    part = Sealed(own, h1, h2, np.zeros(len(h1), np.int32), bits)
+    return {"bucket": bucket, "n": len(own), "body": _packed(part), "hashes": np.stack([h1[at], h2[at]]).tobytes()}
+
+
+_SEALED = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("body", pa.binary()), ("hashes", pa.binary())])
+
+
+def _answer_and_seal(bits: int):
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h1, h2 = (asked.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        seen = np.zeros(len(h1), bool)
+        for body in known.column("body"):
+            who, _ = _unpacked(body.as_py(), bits).claims(h1, h2)
+            seen[who] = True
+        answers = pa.table({"record_id": asked.column("record_id"), "seen": pa.array(seen)})
+        sealed = [_sealed_row(asked.column("bucket")[0].as_py(), h1, h2, ~seen, bits)] if len(h1) else []
+        out = pa.concat_tables([answers, pa.Table.from_pylist(sealed, _SEALED)], promote_options="default")
+        return out.select(["record_id", "seen", *_SEALED.names])
+
+    return run
+
+
+def _merge_sealed(bits: int):
+    def run(parts: pa.Table) -> pa.Table:
+        held = [np.frombuffer(h.as_py(), np.uint64).reshape(2, -1) for h in parts.column("hashes")]
+        h1, h2 = np.concatenate(held, axis=1)
+        every = np.ones(len(h1), bool)
+        return pa.Table.from_pylist([_sealed_row(parts.column("bucket")[0].as_py(), h1, h2, every, bits)], _SEALED)
+
+    return run

@@ -120,3 +120,42 @@ def test_all_bytes_of_a_sealed_key_are_reported(spark):
     row = seen_keys.wrong_rate(r, f, batch_rows=500).first()
     assert row["sealed_bytes"] > 30 * 6000
     assert row["sealed_keys"] == 6000 and 30 < row["bytes_per_key"] < 34
+
+
+def test_sealed_partitions_outlive_a_run(spark, tmp_path):
+    """Runs that know only the sealed partitions of those before; few bits make wrong claims, never misses."""
+    rng = random.Random(12)
+    keys = [b"", b"\x00", *(b"k%d" % i for i in range(700))]
+    records = [(i, rng.choice([None, *keys])) for i in range(1500)]
+    for bits in (32, 4):
+        kept = seen_keys.SealedKeys(spark, str(tmp_path / str(bits)), bits=bits)
+        got = set()
+        for lo in range(0, 1500, 500):
+            part = spark.createDataFrame([(i, k, "x") for i, k in records[lo : lo + 500]], "record_id bigint, key binary, bucket string")
+            got |= {r[0] for r in kept.add(part).collect()}
+            kept = seen_keys.SealedKeys(spark, str(tmp_path / str(bits)))
+            if lo == 500:
+                kept.merge()
+                assert kept.table.read().groupBy("bucket").count().agg(F.max("count")).first()[0] == 1
+        want = brute(records, [])
+        assert got >= want and (bits == 4 or got == want)
+        if bits == 4:
+            assert 0 < len(got - want) < 1500 * 3 / 16
+        sealed = kept.table.read().agg(F.sum("n"), F.sum(F.length("body"))).first()
+        assert sealed[0] <= len(keys)
+    assert kept.add(part.limit(0)).count() == 0
+
+
+def test_python_sees_no_key(spark):
+    """The columns of the function over a bucket; and there is a task for each bucket."""
+    columns = []
+    inner = seen_keys._bucket_lookup
+
+    def watched(bits):
+        return lambda table: inner(bits)(table if not columns.extend(table.column_names) else table)
+
+    records = spark.createDataFrame([(1, 0, 5, 6, 0), (2, 1, 5, 6, 0)], "record_id long, batch int, h1 long, h2 long, bucket int")
+    out = watched(16)(records.toArrow())
+    assert "key" not in columns and "key" not in out.column_names and out.column("claimed").to_pylist() == [None, 0]
+    some = spark.createDataFrame([(1, b"a"), (2, b"a")], "record_id long, key binary")
+    assert seen_keys.lookup(some, some.limit(0))[1].rdd.getNumPartitions() >= 8
