@@ -82,13 +82,14 @@ def test_a_feed_in_parts_gives_the_whole_state(spark, tmp_path):
 
 
 def test_large_values_spill(spark, monkeypatch):
-    monkeypatch.setattr(upsert, "MEMORY", "40MB")
-    rows = spark.range(3000).selectExpr(
-        "cast(cast(id % 1500 as string) as binary) as key", "id as lsn", "1 as op",
+    """240 MB of values of one bucket by a database of 160 MB."""
+    monkeypatch.setattr(upsert, "MEMORY", "160MB")
+    rows = spark.range(9000).selectExpr(
+        "cast(cast(id % 6000 as string) as binary) as key", "id as lsn", "1 as op",
         "cast(repeat(cast(id % 10 as string), 40000) as binary) as value",
     )
     got = upsert.apply_changes(rows, buckets=1)
-    assert got.where("length(value) = 40000 and lsn >= 1500").count() == 1500
+    assert got.where("length(value) = 40000 and lsn >= 3000").count() == 6000
 
 
 def test_buckets_by_rows_and_bytes():
