@@ -9,12 +9,13 @@ from siltstone.llm import percentiles
 from siltstone.sources.shared import checkpointed, read_table
 
 PCTS = [50, 90]
+PARTS = [1, 25, 50, 75, 90, 99]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which a median or 90th percentile is twice that of all days or more."""
     return percentiles.slow_days(read_table(spark, sf_dir, "measurements"), PCTS).select(
-        "engine", "batch_size", F.date_format("run_day", "yyyy-MM-dd").alias("run_day"), "pct"
+        "engine", "batch_size", "run_day", "pct"
     )
 
 
@@ -23,20 +24,26 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpointed(percentiles.samples(read_table(spark, sf_dir, "measurements")))
     daily = percentiles.sketches(rows, [*percentiles.SETTING, "run_day"], "elapsed_ns")
     every = percentiles.merged(daily, percentiles.SETTING)
-    bounds = percentiles.bounded(every, percentiles.SETTING, [1, 25, 50, 75, 90, 99])
+    bounds = percentiles.bounded(every, percentiles.SETTING, PARTS)
     return percentiles.exact(rows, percentiles.SETTING, "elapsed_ns", bounds)
 
 
-def p2_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles straight from the sketches, with their bounds."""
-    rows = percentiles.samples(read_table(spark, sf_dir, "measurements"))
+def p2_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile of merged daily sketches is within the rank error that is stated.
+
+    Twice the error at 99 % confidence is allowed, which chance alone will not exceed.
+    """
+    rows = checkpointed(percentiles.samples(read_table(spark, sf_dir, "measurements")))
     daily = percentiles.sketches(rows, [*percentiles.SETTING, "run_day"], "elapsed_ns")
     every = percentiles.merged(daily, percentiles.SETTING)
-    bounds = percentiles.bounded(every, percentiles.SETTING, [1, 25, 50, 75, 90, 99])
-    return bounds.drop("least", "most")
+    bounds = checkpointed(percentiles.bounded(every, percentiles.SETTING, PARTS))
+    found = percentiles.measured_error(rows, percentiles.SETTING, "elapsed_ns", bounds)
+    return found.select(
+        "engine", "batch_size", "pct", "n", (F.col("error") <= 2 * percentiles.rank_error(800)).alias("within")
+    )
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_sketched": p2_sketched}
+QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_rank_error": p2_rank_error}
 
 _SAMPLES = """
 with samples as (
@@ -54,7 +61,8 @@ overall as (
 """
 
 ORACLE_SQL = {
-    "p2_percentiles": _SAMPLES.format(pcts="[1, 25, 50, 75, 90, 99]") + "select * from of_all",
+    "p2_percentiles": _SAMPLES.format(pcts=PARTS) + "select * from of_all",
+    "p2_rank_error": _SAMPLES.format(pcts=PARTS) + "select engine, batch_size, pct, n, true as within from of_all",
     "p2_found": _SAMPLES.format(pcts=PCTS)
     + """, daily as (
     select *, row_number() over (partition by engine, batch_size, run_day order by elapsed_ns) as r,

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.sources.shared import checkpointed
+from siltstone.sources.shared import checkpointed, stacked
 
 #: Values between the bounds of one percentile that a single task may sort.
 FINISH_ROWS = 1_000_000
@@ -61,7 +61,7 @@ def bounded(parts: DataFrame, groups: list[str], pcts: list[int], k: int = 800,
     not exceed. The bounds lie ``width`` rank errors to either side.
     """
     e = width * rank_error(k)
-    few = F.col("n") * e <= 1  # then there is no use in bounds
+    few = F.col("n") * e <= 1  # so few values that a rank error is less than one of them: all lie within
 
     def read(share: float):
         return F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(share)))
@@ -178,6 +178,8 @@ def samples(measurements: DataFrame) -> DataFrame:
 
 
 SETTING = ["engine", "batch_size"]
+#: The scope of all days, next to those of single ones.
+ALL_DAYS = "all"
 
 
 def slow_days(
@@ -185,18 +187,39 @@ def slow_days(
 ) -> DataFrame:
     """Days on which a percentile is at least ``factor`` times that of all days.
 
-    (engine, batch_size, run_day, pct, value, all_value). Samples without run_day
-    count towards all days only. Empty tables give no rows.
+    (engine, batch_size, run_day, pct, value, all_value), run_day as YYYY-MM-DD. Samples
+    without run_day count towards all days only. Empty tables give no rows. The bounds of
+    days and of all days are proven and finished together, so that the samples are
+    counted once and sorted once for both.
     """
-    rows = checkpointed(samples(measurements))
-    daily = checkpointed(sketches(rows, [*SETTING, "run_day"], "elapsed_ns", k))
-    overall = bounded(merged(daily, SETTING, k), SETTING, pcts, k)
-    of_all = exact(rows, SETTING, "elapsed_ns", overall, k).select(
-        *SETTING, "pct", F.col("value").alias("all_value")
-    )
-    dated = daily.where(F.col("run_day").isNotNull() & (F.col("n") >= least_samples))
+    rows = checkpointed(samples(measurements).withColumn("run_day", F.date_format("run_day", "yyyy-MM-dd")))
     days = [*SETTING, "run_day"]
-    of_day = exact(rows, days, "elapsed_ns", bounded(dated, days, pcts, k), k)
-    return of_day.join(of_all, [*SETTING, "pct"]).where(
-        F.col("value") >= F.col("all_value") * factor
+    daily = checkpointed(sketches(rows, days, "elapsed_ns", k))
+    overall = merged(daily, SETTING, k).withColumn("run_day", F.lit(ALL_DAYS))
+    dated = daily.where(F.col("run_day").isNotNull() & (F.col("n") >= least_samples))
+    bounds = bounded(stacked(dated, overall), days, pcts, k)
+    scopes = F.explode(F.array_compact(F.array(F.lit(ALL_DAYS), "run_day")))
+    scoped = rows.select(*SETTING, scopes.alias("run_day"), "elapsed_ns")
+    found = checkpointed(exact(scoped, days, "elapsed_ns", bounds, k))
+    of_all = found.where(F.col("run_day") == ALL_DAYS).select(*SETTING, "pct", F.col("value").alias("all_value"))
+    of_day = found.where(F.col("run_day") != ALL_DAYS)
+    return of_day.join(of_all, [*SETTING, "pct"]).where(F.col("value") >= F.col("all_value") * factor)
+
+
+def measured_error(values: DataFrame, groups: list[str], value: str, bounds: DataFrame) -> DataFrame:
+    """(groups, pct, n, error): how far each sketched percentile's rank is from its own.
+
+    The rank error is that of the nearest rank that the value ``approx`` takes, as a
+    share of all values; ``bounds`` come from ``bounded``.
+    """
+    key = [*groups, "pct"]
+    counts = (
+        _between(values, groups, value, bounds.select(*key, "n", "rank", "approx"))
+        .groupBy(*key, "n", "rank")
+        .agg(
+            F.count(F.when(F.col("v") < F.col("approx"), 1)).alias("below"),
+            F.count(F.when(F.col("v") <= F.col("approx"), 1)).alias("upto"),
+        )
     )
+    off = F.greatest(F.col("below") + 1 - F.col("rank"), F.col("rank") - F.col("upto"), F.lit(0))
+    return counts.select(*key, "n", (off / F.col("n")).alias("error"))
