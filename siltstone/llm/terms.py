@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import with_tokens
+from siltstone.sources.shared import checkpointed
 
 RUNS = "term string, occurrences long, records long"
 
@@ -126,4 +127,6 @@ def term_marks(hits: DataFrame, id_col: str = "id", text_col: str = "document")
         .distinct()
         .count()
     )
-    return marked(term_counts(term_pairs(distinct_records(hits, id_col, text_col))), n_records)
+    # written out: the range partitioner reads its input twice
+    pairs = checkpointed(term_pairs(distinct_records(hits, id_col, text_col)))
+    return marked(term_counts(pairs), n_records)
