@@ -20,25 +20,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where(F.col("mark").isNotNull()).select("term", "mark")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_terms.top_by_bm25(
-        read_table(spark, sf_dir, "ranked_hits"), read_table(spark, sf_dir, "bm25_configs")
-    )
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, sf_dir, "ranked_hits"), read_table(spark, sf_dir, "bm25_configs")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most characteristic terms of each record under each of its settings."""
-    return _ranked(spark, sf_dir).select("id", "config_id", "place", "term")
+    """The three most characteristic terms of each record under each of its settings.
+
+    From the graph of words, with BM25's contribution of a node's visits as its weight.
+    """
+    return distinct_terms.top_terms(*_ranked(spark, sf_dir)).select("id", "config_id", "place", "term")
 
 
 def p5_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three terms of each record with the highest graph degree times rarity."""
-    return distinct_terms.top_by_graph(read_table(spark, sf_dir, "ranked_hits")).withColumn(
-        "weight", F.round("weight", 9)
-    )
+    found = distinct_terms.top_terms(_ranked(spark, sf_dir)[0]).drop("tf")
+    return found.withColumn("weight", F.round("weight", 9))
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each setting's places hold a term that the degrees choose too."""
+    return distinct_terms.agreement(*_ranked(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_graph": p5_graph}
+QUERIES = {
+    "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_graph": p5_graph,
+    "p5_agreement": p5_agreement,
+}
 
 _RECORDS = """
 with records as (
@@ -117,4 +125,8 @@ ORACLE_SQL = {
     "p3_counts": _COUNTS + "select term, occurrences, records, mark from marked",
     "p5_found": _RANKED,
     "p5_graph": _GRAPH,
+    "p5_agreement": f"""
+select config_id, count(*) as places, count(g.term) as shared
+from ({_RANKED}) r left join (select id, term from ({_GRAPH})) g using (id, term) group by config_id
+""",
 }

@@ -63,8 +63,8 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert terms.term_marks(none).count() == 0
     configs = spark.createDataFrame([], "config_id int, k1 double, b double")
-    assert distinct_terms.top_by_bm25(none, configs).count() == 0
-    assert distinct_terms.top_by_graph(none).count() == 0
+    assert distinct_terms.top_terms(none, configs).count() == 0
+    assert distinct_terms.top_terms(none).count() == 0
 
 
 def test_long_text(spark):
@@ -79,7 +79,7 @@ def test_bm25_places(spark, monkeypatch):
     docs = collection(rows)
     settings = {1: (1.2, 0.75), 2: (0.5, 0.0), 3: (2.0, 1.0), 4: (0.0, 0.5), 5: (math.nan, 0.5), 6: (1.0, None)}
     configs = spark.createDataFrame([(k, *v) for k, v in settings.items()], "config_id int, k1 double, b double")
-    got = sorted((r["id"], r["config_id"], r["place"], r["term"]) for r in distinct_terms.top_by_bm25(spark.createDataFrame(rows, SCHEMA), configs).collect())
+    got = sorted((r["id"], r["config_id"], r["place"], r["term"]) for r in distinct_terms.top_terms(spark.createDataFrame(rows, SCHEMA), configs).collect())
     n, total = len(docs), sum(len(toks(t)) for t in docs.values())
     df = Counter(w for t in docs.values() for w in set(toks(t)))
     want = []
@@ -102,7 +102,7 @@ def test_graph_degrees(spark):
     rows = hits(3)
     docs = collection(rows)
     frame = spark.createDataFrame(list(docs.items()), "id string, document string")
-    got = {(r["id"], r["term"]): (r["tf"], r["degree"]) for r in distinct_terms.local_weights(frame, 3).collect()}
+    got = {(r["id"], r["term"]): (r["tf"], r["degree"]) for r in distinct_terms.graph_of_words(frame, 3).collect()}
     want = {}
     for i, t in docs.items():
         ws, near = toks(t), defaultdict(set)
@@ -111,3 +111,25 @@ def test_graph_degrees(spark):
                 near[ws[a]] |= {ws[b]} - {ws[a]}
         want |= {(i, w): (ws.count(w), len(near[w])) for w in ws}
     assert got == want
+
+
+def test_graph_of_a_long_record(spark):
+    """100,000 tokens: time and space grow with the length, not with its square."""
+    import time
+
+    text = " ".join(f"w{i * i % 5003}" for i in range(100_000))
+    frame = spark.createDataFrame([("a", text), ("b", "one"), ("c", "--")], "id string, document string")
+    began = time.time()
+    rows = {(r["id"], r["term"]): r for r in distinct_terms.graph_of_words(frame).collect()}
+    assert time.time() - began < 60
+    assert (rows["b", "one"]["tf"], rows["b", "one"]["degree"]) == (1, 0)
+    assert sum(r["tf"] for (i, _), r in rows.items() if i == "a") == 100_000 == rows["a", "w1"]["dl"]
+
+
+def test_terms_are_cut_once(spark, monkeypatch):
+    """The pairs are written out before the range partitioner looks at them."""
+    cuts = []
+    inner = terms.with_tokens
+    monkeypatch.setattr(terms, "with_tokens", lambda *a: (cuts.append(a), inner(*a))[1])
+    plan = terms.term_marks(spark.createDataFrame(hits(4), SCHEMA))._jdf.queryExecution().toString()
+    assert len(cuts) == 1 and "regexp_extract_all" not in plan
