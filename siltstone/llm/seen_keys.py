@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siltstone.errors import InvalidInput
 from siltstone.sources.shared import PublishedTable, checkpointed, stacked
@@ -136,8 +137,8 @@ def _distinct(at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 LOOKED_UP = (
-    "batch int, record_id long, h1 long, h2 long, claimed int, lookups int, wrong int, sealed_keys long, "
-    "sealed_bytes long"
+    "batch int, record_id long, h1 long, h2 long, shared boolean, claimed int, lookups int, wrong int, "
+    "sealed_keys long, sealed_bytes long"
 )
 
 
@@ -181,10 +182,12 @@ def _bucket_lookup(bits: int):
         shown = np.flatnonzero(batch != FILES)[-1:]
         held[shown], sizes[shown] = sum(len(s.at) for s in sealed), size
         claimed = pa.array(claimed, mask=claimed == np.iinfo(np.int32).min)
+        none = pa.scalar(None, pa.int64())  # only hashes that different keys share are asked for again
+        few = [pc.if_else(table.column("shared"), table.column(c), none) for c in ("h1", "h2")]
         out = pa.table(
-            [*(table.column(c) for c in ("batch", "record_id", "h1", "h2")), claimed,
+            [*(table.column(c) for c in ("batch", "record_id")), *few, table.column("shared"), claimed,
              pa.array(lookups), pa.array(wrong), pa.array(held), pa.array(sizes)],
-            names=["batch", "record_id", "h1", "h2", "claimed", "lookups", "wrong", "sealed_keys", "sealed_bytes"],
+            names=["batch", "record_id", "h1", "h2", "shared", "claimed", "lookups", "wrong", "sealed_keys", "sealed_bytes"],
         )
         return out.filter(pc.not_equal(out.column("batch"), FILES))
 
@@ -229,18 +232,20 @@ def lookup(
     bucket_rows: int = 150_000,
     fingerprint_bits: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
-    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys by bucket.
+    """The looked-up first rows of every batch (LOOKED_UP) and the batches' keys.
 
     Without ``batch_rows`` batches are of ``batch_size``. There are buckets for all rows,
-    should all their keys differ, and the keys are written out by bucket: what groups by
-    bucket afterwards moves nothing.
+    should all their keys differ. The keys are moved once, to their buckets, where their
+    bytes are compared and their hashes looked up.
     """
     if batch_rows is None:
         batch_rows = batch_size(records)
     buckets = max(8, -(-(records.count() + files.count()) // bucket_rows))
-    hashed = batch_keys(records, files, batch_rows).select("key", "batch", "record_id", *_hashes(buckets))
-    keys = checkpointed(hashed.repartition(buckets, "bucket"))
-    looked = keys.drop("key").groupBy("bucket").applyInArrow(_bucket_lookup(fingerprint_bits), LOOKED_UP)
+    keys = batch_keys(records, files, batch_rows).select("key", "batch", "record_id", *_hashes(buckets))
+    same = W.partitionBy("bucket", "h1", "h2")
+    shared = F.min("key").over(same) != F.max("key").over(same)
+    placed = keys.repartition(buckets, "bucket").select("bucket", "batch", "record_id", "h1", "h2", shared.alias("shared"))
+    looked = placed.groupBy("bucket").applyInArrow(_bucket_lookup(fingerprint_bits), LOOKED_UP)
     return checkpointed(looked), keys
 
 
@@ -254,20 +259,17 @@ def new_keys(looked: DataFrame, keys: DataFrame) -> DataFrame:
     """Record ids of the rows at which a key stands for the first time.
 
     A lookup decides by 128 bits of hash. Hashes that different keys share, which there
-    are none of as a rule, are found by comparing the bytes of all keys of a bucket;
-    those keys are then decided by all batches that they stand in.
+    are none of as a rule, are marked in their buckets; their keys are decided by all
+    batches that they stand in.
     """
-    same = ["bucket", "h1", "h2"]
-    shared = keys.groupBy(*same).agg(F.min("key").alias("a"), F.max("key").alias("b")).where(F.col("a") != F.col("b"))
-    shared = checkpointed(shared.select(*same))
     new = looked.where(F.col("claimed").isNull())
-    if not shared.limit(1).count():
+    twice = looked.where("shared").select("h1", "h2").distinct()
+    if not twice.limit(1).count():
         return new.select("record_id")
     # a key of the files has a null id in batch -1, before all others
     first = F.min(F.struct("batch", "record_id"))["record_id"].alias("record_id")
-    decided = keys.join(shared, same, "left_semi").groupBy("key").agg(first).select("record_id")
-    others = new.join(shared.select("h1", "h2"), ["h1", "h2"], "left_anti").select("record_id")
-    return stacked(others, decided.where(F.col("record_id").isNotNull()))
+    decided = keys.join(twice, ["h1", "h2"], "left_semi").groupBy("key").agg(first).select("record_id")
+    return stacked(new.where(~F.col("shared")).select("record_id"), decided.where(F.col("record_id").isNotNull()))
 
 
 def seen_before(records: DataFrame, files: DataFrame, **settings) -> DataFrame:

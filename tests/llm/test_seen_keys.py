@@ -154,8 +154,9 @@ def test_python_sees_no_key(spark):
     def watched(bits):
         return lambda table: inner(bits)(table if not columns.extend(table.column_names) else table)
 
-    records = spark.createDataFrame([(1, 0, 5, 6, 0), (2, 1, 5, 6, 0)], "record_id long, batch int, h1 long, h2 long, bucket int")
+    rows = [(1, 0, 5, 6, 0, False), (2, 1, 5, 6, 0, False)]
+    records = spark.createDataFrame(rows, "record_id long, batch int, h1 long, h2 long, bucket int, shared boolean")
     out = watched(16)(records.toArrow())
     assert "key" not in columns and "key" not in out.column_names and out.column("claimed").to_pylist() == [None, 0]
     some = spark.createDataFrame([(1, b"a"), (2, b"a")], "record_id long, key binary")
-    assert seen_keys.lookup(some, some.limit(0))[1].rdd.getNumPartitions() >= 8
+    assert seen_keys.lookup(some, some.limit(0))[0].rdd.getNumPartitions() >= 8
