@@ -6,8 +6,13 @@ window of n words is looked up in the set, and each hit is verified word for wor
 A word is a run of letters and digits; letter case, accents, invisible characters
 and a hyphen that parts a word at a line end are removed first.
 
+An n-gram that many items share is kept and verified once; which items hold it is told
+apart from that.
+
 The set is only broadcast while the items hold at most ``MAX_GRAMS`` n-grams. Beyond
-that the windows' hashes meet the items' in a join, with the same result.
+that a filter of bounded size over the items' n-grams is broadcast: windows that it
+rules out, nearly all of them, end where they are, and the others meet the items'
+n-grams in a join, with the same result.
 """
 
 from __future__ import annotations
@@ -92,10 +97,15 @@ def _codes(ids: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of each window of n words, by n shifted additions."""
-    if len(ids) < n:
+    """Hash of each window of n words by their numbers."""
+    return _polynomial(_codes(ids), n)
+
+
+def _polynomial(codes: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash of each window of n codes, by n shifted additions."""
+    if len(codes) < n:
         return np.zeros(0, np.uint64)
-    codes, count = _codes(ids), len(ids) - n + 1
+    count = len(codes) - n + 1
     out = np.zeros(count, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
@@ -104,32 +114,37 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class ItemSet:
-    """The items' n-grams: vocabulary, hashes, and where each hash occurs."""
+    """The items' distinct n-grams: vocabulary, hashes, and the items that hold each."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int):
         self.n = n
         cut = Words()
         self.vocabulary: dict[str, int] = {}
-        self.words: list[np.ndarray] = []
-        self.item_ids: list[int] = []
-        hashes, owners, starts = [], [], []
-        for k, (item_id, text) in enumerate(items):
+        self.item_ids = [item_id for item_id, _ in items]
+        words, hashes, owners = [], [], []
+        for k, (_, text) in enumerate(items):
             forms, _ = cut(text)
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in forms], np.int64)
-            self.words.append(ids)
-            self.item_ids.append(item_id)
             h = window_hashes(ids, n)
+            words.append(np.lib.stride_tricks.sliding_window_view(ids, n) if len(h) else np.zeros((0, n), np.int64))
             hashes.append(h)
-            owners.append(np.full(len(h), k, np.int32))
-            starts.append(np.arange(len(h), dtype=np.int32))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int32)
-        self.starts = np.concatenate(starts)[order] if starts else np.zeros(0, np.int32)
+            owners.append(np.full(len(h), k, np.int64))
+        grams = np.concatenate(words) if words else np.zeros((0, n), np.int64)
+        grams, number = np.unique(grams, axis=0, return_inverse=True)
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        of = np.zeros(len(grams), np.uint64)
+        of[number] = every
+        order = np.argsort(of, kind="stable")
+        self.hashes, self.grams = of[order], grams[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # (gram, item) pairs by gram: the items of gram g are members[starts[g]:starts[g + 1]]
+        pairs = np.unique(np.stack([place[number.ravel()], np.concatenate(owners or [np.zeros(0, np.int64)])]), axis=1)
+        self.members = pairs[1]
+        self.starts = np.searchsorted(pairs[0], np.arange(len(grams) + 1))
 
     def hits(self, forms: list[str]) -> dict[int, list[int]]:
-        """Items that share n words in a row with these words, and at which words."""
+        """The n-grams among these words, by number, and at which words they begin."""
         if len(forms) < self.n or not len(self.hashes):
             return {}
         get = self.vocabulary.get
@@ -143,12 +158,16 @@ class ItemSet:
         found: dict[int, list[int]] = {}
         for place, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
             window = ids[place : place + self.n]
-            for j in range(a, b):
-                k, s = self.owners[j], self.starts[j]
-                if np.array_equal(self.words[k][s : s + self.n], window):
-                    found.setdefault(int(k), []).append(int(place))
+            for g in range(a, b):  # as a rule one
+                if np.array_equal(self.grams[g], window):
+                    found.setdefault(int(g), []).append(int(place))
         return found
 
+    def items_of(self, hits: dict[int, list[int]]) -> list[int]:
+        """Ids of the items that hold any of the n-grams found."""
+        held = {k for g in hits for k in self.members[self.starts[g] : self.starts[g + 1]].tolist()}
+        return sorted({self.item_ids[k] for k in held})
+
 
 def _bounded_items(items: DataFrame, id_col: str, text_col: str, n: int) -> ItemSet | None:
     """The items' n-grams, or None if they are more than a broadcast may hold."""
@@ -176,10 +195,10 @@ def _scan(documents: DataFrame, items: ItemSet, id_col: str, text_col: str, outs
                 hits = own.hits(forms)
                 if outside:
                     at.append(row)
-                    found.append(sorted({own.item_ids[k] for k in hits}))
+                    found.append(own.items_of(hits))
                     texts.append(without(text, places, hits, own.n))
                 else:
-                    for k in sorted({own.item_ids[k] for k in hits}):
+                    for k in own.items_of(hits):
                         at.append(row)
                         found.append(k)
             ids = batch.column("id").take(pa.array(at, pa.int64()))
@@ -206,36 +225,80 @@ def without(text: str | None, places: list, hits: dict[int, list[int]], n: int)
     return "".join([*out, text[upto:]])
 
 
-def _gram_rows(
-    df: DataFrame, id_col: str, text_col: str, name: str, n: int, placed: bool = False
-) -> DataFrame:
-    """(name, hash, gram): every window of n words, for the join.
+#: Bits of the filter over the items' n-grams.
+FILTER_BITS = 1 << 26
 
-    With ``placed`` every window has its place, else equal ones may come once.
-    """
+
+def _word_windows(forms: list[str], known: dict[str, int], n: int) -> np.ndarray:
+    """A hash of each window of n words by the words themselves, the same for all tasks."""
+    import xxhash
+
+    if len(known) > 200_000:
+        known.clear()
+    codes = np.empty(len(forms), np.uint64)
+    for i, w in enumerate(forms):
+        code = known.get(w)
+        if code is None:
+            code = known[w] = xxhash.xxh64_intdigest(w)
+        codes[i] = code
+    return _polynomial(codes, n)
+
+
+def _gram_rows(df: DataFrame, id_col: str, text_col: str, name: str, n: int, keep=None) -> DataFrame:
+    """(name, hash, gram, place): every window of n words, or those that a filter lets pass."""
     chosen = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Words()
+        cut, codes = Words(), {}
+        passes = None if keep is None else keep.value
         for batch in batches:
             for row, text in enumerate(batch.column("text").to_pylist()):
                 forms, _ = cut(text)
-                for lo in range(0, max(0, len(forms) - n + 1), 5_000):
-                    at = range(lo, min(lo + 5_000, len(forms) - n + 1))
-                    grams = [" ".join(forms[i : i + n]) for i in at]
-                    grams = grams if placed else list(set(grams))
-                    ids = batch.column("id").slice(row, 1).take(pa.array([0] * len(grams)))
-                    columns = [ids, pa.array(grams, pa.string())]
-                    if placed:
-                        columns.append(pa.array(at, pa.int32()))
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                hashes = _word_windows(forms, codes, n)
+                at = np.arange(len(hashes))
+                if passes is not None:
+                    bit = hashes & np.uint64(FILTER_BITS - 1)
+                    at = at[(passes[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                for lo in range(0, len(at), 5_000):
+                    some = at[lo : lo + 5_000]
+                    ids = batch.column("id").slice(row, 1).take(pa.array(np.zeros(len(some), np.int64)))
+                    grams = pa.array([" ".join(forms[i : i + n]) for i in some], pa.string())
+                    own = pa.array(hashes[some].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([ids, own, grams, pa.array(some.astype(np.int32))], names)
+
+    names = [name, "hash", "gram", "place"]
+    return chosen.mapInArrow(run, f"`{name}` {kind}, hash bigint, gram string, place int")
+
+
+def _filter_of(grams: DataFrame):
+    """A broadcast bit array over the hashes of n-grams; its size does not depend on them."""
+    bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = grams.groupBy(F.shiftright(bit, 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")
+    )
+    rows = words.toArrow()  # at most FILTER_BITS / 64 of them
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("bits").to_numpy()
+    return grams.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
-    names = [name, "gram", "place"] if placed else [name, "gram"]
-    more = ", place int" if placed else ""
-    return chosen.mapInArrow(run, f"`{name}` {kind}, gram string{more}").withColumn("hash", F.xxhash64("gram"))
+
+def _met(documents: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, item_col: str, item_text_col: str):
+    """(doc, place, gram number) of the windows that items hold, and (gram number, item).
+
+    Each n-gram has one row on the items' side, so that one shared by many items meets a
+    window once.
+    """
+    own = items.where(F.col(item_col).isNotNull())
+    there = checkpointed(_gram_rows(own, item_col, item_text_col, "item", n).select("item", "hash", "gram").distinct())
+    numbered = checkpointed(
+        there.select("hash", "gram").distinct().withColumn("number", F.monotonically_increasing_id())
+    )
+    here = _gram_rows(documents, id_col, text_col, "doc", n, _filter_of(numbered))
+    hits = here.join(numbered, ["hash", "gram"]).select("doc", "place", "number")
+    return hits, there.join(numbered, ["hash", "gram"]).select("number", "item")
 
 
 def leaked(
@@ -263,9 +326,9 @@ def leaked(
         return pairs.withColumnRenamed("item_id", item_col).distinct()
     if broadcast:
         raise InvalidInput("the items are too large to be broadcast")
-    there = _gram_rows(items.where(F.col(item_col).isNotNull()), item_col, item_text_col, item_col, n)
-    here = _gram_rows(documents, id_col, text_col, id_col, n)
-    return here.join(there.distinct(), ["hash", "gram"]).select(id_col, item_col).distinct()
+    hits, members = _met(documents, items, n, id_col, text_col, item_col, item_text_col)
+    pairs = hits.select("doc", "number").distinct().join(members, "number")
+    return pairs.select(F.col("doc").alias(id_col), F.col("item").alias(item_col)).distinct()
 
 
 def cleaned(
@@ -307,12 +370,12 @@ def _cut_by_join(
             F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
         )
     )
-    there = _gram_rows(items.where(F.col(item_col).isNotNull()), item_col, item_text_col, "item", n)
-    here = _gram_rows(numbered, "row", "text", "row", n, placed=True)
-    pairs = here.join(there.distinct(), ["hash", "gram"])
-    hits = pairs.groupBy("row").agg(
-        F.sort_array(F.collect_set(F.col("item").cast("long"))).alias("items"), F.collect_set("place").alias("places")
-    )
+    met, members = _met(numbered, items, n, "row", "text", item_col, item_text_col)
+    met = checkpointed(met)
+    held = met.select("doc", "number").distinct().join(members, "number").groupBy(F.col("doc").alias("row"))
+    found = held.agg(F.sort_array(F.collect_set(F.col("item").cast("long"))).alias("items"))
+    places = met.groupBy(F.col("doc").alias("row")).agg(F.collect_set("place").alias("places"))
+    hits = found.join(places, "row")
     rows = numbered.join(hits, "row", "left").select("id", "text", "items", "places")
     kind = numbered.schema["id"].dataType.simpleString()
 

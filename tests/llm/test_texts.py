@@ -107,7 +107,7 @@ def test_leaks_against_brute_force(spark, broadcast):
 def test_what_makes_no_difference(text):
     items = leakage.ItemSet([(1, PASSAGE)], 12)
     forms, places = leakage.Words()("before " + text + " after")
-    assert len(items.hits(forms)[0]) == 4
+    assert len(items.hits(forms)) == 4 and items.items_of(items.hits(forms)) == [1]
     assert leakage.without("before " + text + " after", places, items.hits(forms), 12).split() in (["before", "after"], ["before", "(", ")", "after"], ["before", "()", "after"])
 
 
@@ -131,6 +131,14 @@ def test_twelve_words_are_needed():
     assert cut("well- known a-b x-\n5")[0] == ["well", "known", "a", "b", "x", "5"]
 
 
+def test_an_ngram_of_many_items_is_kept_once():
+    items = leakage.ItemSet([(i, PASSAGE if i % 2 else PASSAGE + " more words") for i in range(2_000)], 12)
+    assert len(items.hashes) == 6 and len(items.members) == 4 * 2_000 + 2 * 1_000
+    hits = items.hits(leakage.Words()(PASSAGE)[0])
+    assert len(hits) == 4 and items.items_of(hits) == list(range(2_000))
+    assert items.items_of({}) == []
+
+
 def test_cleaned(spark):
     docs = spark.createDataFrame([(1, f"Before. {PASSAGE} After."), (2, None), (3, "clean")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, PASSAGE)], "item_id bigint, text string")
