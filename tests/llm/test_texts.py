@@ -288,6 +288,55 @@ def test_small_scripts_keep_their_evidence(spark, monkeypatch):
     assert len(model.before) == 4
 
 
+def test_text_without_marks(spark):
+    """Gaps between plain words are events where no mark comes for long; how sentences begin decides them."""
+    sentence = "We paid the harbour dues to nobody."
+    other = ["They moved old boats along quiet canals.", "Nobody spoke for the small mills there."]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([sentence, *other, "Why?", "We paid!", "They moved!", "Nobody spoke!"]) for _ in range(12)) for _ in range(300)]
+    m = sentences.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = [sentence[:-1], other[0][:-1]] * 12
+    text = " ".join(plain)
+    found = [s for s in sites(text)[0] if s.mark == " "]
+    assert len(found) > 60 and all(s.settled is None for s in found)
+    got = cut(m, text)
+    assert sum(g in plain for g in got) > 18 and "".join(got).replace(" ", "") == text.replace(" ", "")
+    assert not [s for s in sites(" ".join(plain[:6]))[0] if s.mark == " "]
+    assert [s.mark for s in sites("港口的船" * 30 + " " + "这里的路" * 5)[0]] == [" "]
+
+
+def test_abbreviations_are_learned():
+    """A short word that hardly ever stands without its mark, and after which sentences do not begin."""
+    rows = [(("xq", ".", False, "space", "<Xx>"), 400.0), (("end", ".", False, "space", "The"), 400.0),
+            (("end", ".", False, "space", "<Xx>"), 90.0), (("why", "!", False, "space", "The"), 300.0)]
+    pairs = [("end", "<xx>", 500.0), ("<xx>", "<xx>", 5000.0), ("<xx>", "<Xx>", 600.0), ("<xx>", "end", 300.0)]
+    m = sentence_model.estimate(rows, {"xq", "end", "why"}, {"The", "end"}, pairs)
+    assert m.abbreviated["xq"] > 0.99 and m.abbreviated["end"] < 0.01
+    assert m.posterior(rows[0][0]) < 0.1 and m.posterior(rows[1][0]) > 0.9
+
+
+def test_followers_of_the_word_before_count():
+    """The same word behind the same mark: it continues after the one that it follows elsewhere."""
+    rows = [(("st", ".", False, "space", "Aran"), 40.0), (("mill", ".", False, "space", "Aran"), 40.0), (("so", "!", False, "space", "Aran"), 40.0)]
+    pairs = [("st", "Aran", 300.0), ("mill", "<xx>", 300.0), ("<xx>", "<xx>", 3000.0)]
+    m = sentence_model.estimate(rows, {"st", "mill", "so"}, {"Aran"}, pairs)
+    assert m.p_cont("st", ".", "Aran") > 5 * m.p_cont("mill", ".", "Aran")
+    assert m.posterior(rows[0][0]) < m.posterior(rows[1][0])
+
+
+def test_white_space_in_thai_is_decided_by_the_model(spark):
+    text = "ใครจะเป็นผู้จ่ายเงิน ชาวประมง 24 คนรอคำตอบ ประธาน: เราไม่เห็นด้วย"
+    found = sites(text)[0]
+    assert [(s.last, s.next[:1]) for s in found if s.mark == "thai"] == [("<end:thai>", "ช"), ("<end:thai>", "0"), ("<end:thai>", "ป")]
+    assert all(s.settled is None for s in found)
+
+
+def test_counted_pairs(spark):
+    df = spark.createDataFrame([("the old mill. The old, old mill x 12 y",), (None,), ("",), ("one",), ("ชาวประมง คนรอ",)], "text string")
+    got = {(r["last"], r["next"]): r["n"] for r in sentences.counted_pairs(df).collect()}
+    assert got == {("the", "old"): 1, ("The", "old"): 1, ("old", "mill"): 2, ("mill", "x"): 1, ("x", "12"): 1, ("12", "y"): 1}
+
+
 def test_spans():
     assert spans("a (b (c) d) e) (f", CLOSING_OF) == [(2, 11)]
     assert sites("")[0] == []
