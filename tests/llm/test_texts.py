@@ -315,6 +315,16 @@ def test_abbreviations_are_learned():
     assert m.posterior(rows[0][0]) < 0.1 and m.posterior(rows[1][0]) > 0.9
 
 
+def test_names_seen_in_no_other_place_tell_nothing():
+    """In a large corpus names are known words, but neither begin sentences nor stand without a mark before."""
+    names = [f"Name{c}" for c in "abcdef"]
+    rows = [(("xq", ".", False, "space", n), 300.0) for n in names]
+    rows += [(("why", "!", False, "space", "The"), 300.0), (("end", ".", False, "space", "The"), 900.0)]
+    m = sentence_model.estimate(rows, {"xq", "end", "why"}, {"The", *names}, [("<xx>", "<xx>", 50_000.0)])
+    assert m.abbreviated["xq"] > 0.99 and m.abbreviated["end"] < 0.01
+    assert all(m.posterior(key) < 0.5 for key, _ in rows[:6])
+
+
 def test_followers_of_the_word_before_count():
     """The same word behind the same mark: it continues after the one that it follows elsewhere."""
     rows = [(("st", ".", False, "space", "Aran"), 40.0), (("mill", ".", False, "space", "Aran"), 40.0), (("so", "!", False, "space", "Aran"), 40.0)]
