@@ -9,7 +9,9 @@ a boundary is after a word and mark, and which white space comes with it is esti
 expectation and maximisation over the counts of all sites of the corpus, from a plain
 first guess. Abbreviations are told by the same counts: they hardly ever stand without
 their mark. Decoding runs forward and backward over a text's sites, whose events meet
-where a single token stands between them.
+where a single token stands between them. A gap between two words meets no other event:
+its words alone decide it, the last by how often a sentence ends with it and how often it
+goes on without a mark.
 
 The counts that the model keeps are bounded whatever the corpus: a token is known by
 itself if it makes up at least 1/KNOWN of its script's sites, else by its shape. A row
@@ -25,7 +27,7 @@ import math
 from collections import defaultdict
 from functools import lru_cache
 
-from siltstone.llm.sentence_sites import END, SCRIPTS, is_small, shape
+from siltstone.llm.sentence_sites import END, GAP, SCRIPTS, SIGN, is_small, shape
 
 #: Tokens, and combinations of them, that can each have the least share of a script's sites.
 KNOWN, KNOWN_ROWS = 20_000, 200_000
@@ -36,7 +38,7 @@ ROUNDS = 5
 #: First guess that a mark is a boundary, before anything has been counted.
 GUESS = {
     ".": 0.85, "!": 0.97, "。": 0.98, "…": 0.08, ";": 0.95, "—": 0.7,
-    "\nH": 0.6, "\nR": 0.97, "\nD": 0.97, "\nL": 0.02, "\nW": 0.01, "thai": 0.9, " ": 0.05,
+    "\nH": 0.6, "\nR": 0.97, "\nD": 0.97, "\nL": 0.02, "\nW": 0.01, "thai": 0.9, " ": 0.05, GAP: 0.002, SIGN: 0.0002,
 } | {m + q: p for m in ".!。…;" for q, p in (("Q0", 0.4), ("Q1", 0.8))}
 #: Sites that the first guess of a mark weighs against the counts of a token before it.
 _ANCHOR = 6.0
@@ -53,6 +55,8 @@ _SEED = 12.0
 _MARKED, _OTHERS, _RARE, _LETTER, _LONG = 0.97, 0.08, -5.3, 1.0, 200.0
 #: The most that one word behind a mark tells, likewise.
 _FOLLOWER = 4.0
+#: The share of sentences that lack their mark, before anything has been counted, and sentences that this weighs.
+_UNMARKED, _MARKS = 0.001, 1_000
 #: Pairs that count as evidence of a word's own followers next to those of its script.
 _OWN = 100
 
@@ -150,6 +154,42 @@ def _mixed(counts: dict, of: tuple, nxt: str, wider: float) -> float:
     return (1 - weight) * counts.get((*of, nxt), 0.0) / total + weight * wider
 
 
+def _followers(pairs: list[tuple[str, str, float]]) -> dict[tuple, float]:
+    """Counts of what follows a token, its script and its kind."""
+    counts: dict[tuple, float] = defaultdict(float)
+    for last, nxt, n in pairs:
+        for at in ((last,), (script(last), ""), (shape(last), "kind")):
+            counts[(*at, nxt)] += n
+            counts[at] += n
+    return dict(counts)
+
+
+class _Around(dict):
+    """Whether a boundary stands in the gap between two words, as far as asked for lately."""
+
+    def __init__(self, model: HiddenEventModel):
+        self.model = model
+        self._known: dict[tuple, bool] = {}
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        model = self.model
+        last, mark, gap = pair[0], GAP, "space"
+        if last[0] == SIGN and len(last) > 1:
+            last, mark, gap = last[1:], SIGN, "none"
+        key = known_key((last, mark, False, gap, pair[1]), model.before, model.behind)
+        for recent in (self, self._known):
+            if len(recent) > 200_000:
+                recent.clear()
+        got = self._known.get(key)
+        if got is None:
+            got = self._known[key] = model.posterior(key) > 0.5
+        self[pair] = got
+        return got
+
+    def __reduce__(self):
+        return _Around, (self.model,)
+
+
 class HiddenEventModel:
     """Tables of counts and the probabilities read from them."""
 
@@ -166,15 +206,15 @@ class HiddenEventModel:
         self.kind: dict[str, float] = {}
         self.pairs: dict[tuple, float] = {}
         self.abbreviated: dict[str, float] = {}
+        self.signs: dict[tuple, float] = {}
+        self.apart: dict[tuple, float] = {}
+        self.ended: dict[str, float] = {}
+        self.unmarked = _UNMARKED
+        self.around = _Around(self)
 
     def learn_pairs(self, pairs: list[tuple[str, str, float]], rows: list[tuple[tuple, float]]) -> None:
         """Take over counts of words that follow one another, and tell abbreviations by them."""
-        counts: dict[tuple, float] = defaultdict(float)
-        for last, nxt, n in pairs:
-            for at in ((last,), (script(last), ""), (shape(last), "kind")):
-                counts[(*at, nxt)] += n
-                counts[at] += n
-        self.pairs = dict(counts)
+        self.pairs = counts = _followers(pairs)
         starts, within = defaultdict(float), defaultdict(float)
         begun = ((script(key[0]), key[4], n) for key, n in rows if key[1] in ("!", "。") and key[4] != END)
         for of, to in ((begun, starts), (((script(a), b, n) for a, b, n in pairs), within)):
@@ -236,8 +276,46 @@ class HiddenEventModel:
         self.start_shape, self.cont_shape = dict(start_shape), dict(cont_shape)
         self.token, self.kind = dict(tokens), dict(kinds)
 
+    def learn_gaps(
+        self, pairs: list[tuple[str, str, float]], signs: list[tuple[str, str, float]],
+        apart: list[tuple[str, str, float]], rounds: int,
+    ) -> None:
+        """Estimate how likely a boundary is where no mark stands, in a gap between two words and
+        beside a sign of Han or kana; all else stays as it is."""
+        self.signs, self.apart = _followers(signs), _followers(apart)
+        # words beside signs are cut otherwise in the counted pairs
+        gaps = [*apart, *(row for row in pairs if "han" not in (script(row[0]), script(row[1])))]
+        ended: dict[str, float] = defaultdict(float)
+        for at, (yes, _) in self.event.items():
+            if len(at) == 2 and at[1][0] not in ("\n", " "):
+                ended[at[0]] += yes
+        self.ended = dict(ended)
+        marked = sum(ended.values())
+        likely = [
+            (last, mark, n, *self.likelihood((last, mark, False, gap, nxt)))
+            for mark, gap, of in ((GAP, "space", gaps), (SIGN, "none", signs))
+            for last, nxt, n in of
+        ]
+        for _ in range(rounds):
+            event: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
+            for last, mark, n, a, b in likely:
+                p = self.p_event(last, mark, False)
+                yes = n * p * a / (p * a + (1 - p) * b)
+                event[last, mark][0] += yes
+                event[last, mark][1] += n - yes
+            self.event.update(event)
+            lacking = sum(yes for yes, _ in event.values())
+            self.unmarked = (lacking + _UNMARKED * _MARKS) / (lacking + marked + _MARKS)
+
     def p_event(self, last: str, mark: str, one: bool) -> float:
         """Probability of a boundary after a token and mark."""
+        if mark in (GAP, SIGN):
+            # a word is not believed to lack its mark more often than it has it: labels and titles,
+            # that never stand before one, are followed by what begins sentences, too
+            y, n = self.event.get((last, mark), (0.0, 0.0))
+            ended = self.ended.get(last, 0.0)
+            p = (min(y, ended) + self.unmarked * ended + _ANCHOR * GUESS[mark]) / (y + n + self.unmarked * ended + _ANCHOR)
+            return min(max(p, 1e-6), 1 - 1e-6)
         p, kind = GUESS[mark], shape(last)
         known = self.abbreviated.get(last, 0.0) if mark[0] == "." else 0.0
         if known > 0.01:
@@ -296,6 +374,29 @@ class HiddenEventModel:
         weight = own / (own + _OWN) / 2
         return weight * self.pairs.get((last, nxt), 0.0) / own + (1 - weight) * p if own else p
 
+    def p_within(self, last: str, mark: str, nxt: str) -> float:
+        """Probability that a token follows where neither a mark nor a boundary stands.
+
+        Words tell of words, signs of signs. Behind a word of another script stands what
+        stands anywhere in its own; a number is followed by words of all scripts.
+        """
+        pairs = self.signs if mark == SIGN or script(nxt) == "han" else self.pairs
+        other = other_script(last, nxt)
+        of = script(nxt if other else last)
+        total = pairs.get((of, ""), 0.0)
+        if not total:
+            return _mixed(self.cont, (), nxt, self._by_kind(self.cont_shape, nxt))
+        p = (pairs.get((of, "", nxt), 0.0) + 0.5) / (total + 1_000)
+        if mark == GAP and "han" in (script(last), script(nxt)):
+            pairs = self.apart
+        elif other and shape(last) != "0":
+            return p
+        else:
+            p = (p + _mixed(pairs, (shape(last), "kind"), nxt, p)) / 2
+        own = pairs.get((last,), 0.0)
+        weight = own / (own + _OWN) / 2
+        return weight * pairs.get((last, nxt), 0.0) / own + (1 - weight) * p if own else p
+
     def p_gap(self, boundary: bool, gap: str) -> float:
         return (self.gaps.get((boundary, gap), 0.0) + 0.5) / (self.gaps.get((boundary,), 0.0) + 2.0)
 
@@ -304,10 +405,15 @@ class HiddenEventModel:
         last, mark, one, gap, nxt = key
         if nxt == END:
             return 1.0, 1e-9
-        if nxt not in self.token and (last, nxt) not in self.pairs:  # likewise
+        pairs = self.signs if mark == SIGN else self.pairs
+        if nxt not in self.token and (last, nxt) not in pairs and not (mark == GAP and (last, nxt) in self.apart):  # likewise
             nxt = shape(nxt)
         if mark == "thai" and other_script(last, nxt):
             return 1.0, 1.0
+        if mark in (GAP, SIGN):
+            a, b = self.p_start(last, nxt), self.p_within(last, mark, nxt)
+            # a quote begins as a sentence does, wherever it stands
+            return (a, (a + b) / 2) if gap == "quote" else (a, b)
         if mark[0] == "\n":  # a wrapped line goes on with a small letter as a rule
             small = is_small(shape(nxt)) or nxt[:1].islower()
             return (0.01, 0.75) if small else (0.99, 0.25)
@@ -378,11 +484,13 @@ class HiddenEventModel:
 
 def estimate(
     rows: list[tuple[tuple, float]], before: set[str], behind: set[str],
-    pairs: list[tuple[str, str, float]] | None = None, rounds: int = ROUNDS,
+    pairs: list[tuple[str, str, float]] | None = None, signs: list[tuple[str, str, float]] | None = None,
+    apart: list[tuple[str, str, float]] | None = None, rounds: int = ROUNDS,
 ) -> HiddenEventModel:
     """The model of counted sites (key, n) with known tokens, by expectation-maximisation.
 
-    ``pairs`` are counted bigrams (word, word behind, n), likewise with known tokens.
+    ``pairs`` are counted bigrams (word, word behind, n), likewise with known tokens, and
+    ``signs`` those around places beside signs of Han and kana, ``apart`` around gaps there.
     """
     model = HiddenEventModel(before, behind)
     model.learn_pairs(pairs or [], rows)
@@ -391,4 +499,5 @@ def estimate(
     for _ in range(rounds):
         posterior = [model.posterior(key) for key, _ in rows]
         model.count(rows, posterior)
+    model.learn_gaps(pairs or [], signs or [], apart or [], rounds)
     return model

@@ -2,7 +2,8 @@
 
 A site is a run of end marks with the quotes and brackets that close behind it, a
 line break without such a mark, a dash that cuts a speech short, or white space
-after Thai; where no mark comes for long, also any gap between two words. Bracketed remarks are passed over: the words before and behind them
+after Thai. Every other gap between two words is one too, and every place beside a sign of Han
+or kana: where no mark comes for long the gaps in ``sites``, all others in ``gaps``. Bracketed remarks are passed over: the words before and behind them
 meet, so that a remark inside a sentence ends nothing, and one between two sentences
 becomes a unit of its own when the site before it ends a sentence.
 """
@@ -10,7 +11,10 @@ becomes a unit of its own when the site before it ends a sentence.
 from __future__ import annotations
 
 import bisect
+import re
 import sys
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,6 +31,10 @@ STRONG = "!?！？。।॥؟۔｡"
 OPENERS = "“„«‹「『‘\"'¿¡([（［【"
 CLOSERS = "”“»›」』’\"'"
 
+#: What a run without white space may begin and end with beside its words.
+_OPENING = OPENERS.replace("¿", "").replace("¡", "")
+_CLOSING = CLOSERS + ")]）］】"
+
 _BREAK = r"\r\n\v\f\x85\u2028\u2029"
 _SITE = regex.compile(
     rf"(?P<mark>[.…{STRONG};\u037e]+)"
@@ -35,6 +43,7 @@ _SITE = regex.compile(
     rf"|(?P<thai>(?<=\p{{Thai}})[^\S{_BREAK}]+)"
 )
 _SPACES = regex.compile(r"\s*")
+_CHUNK = re.compile(r"\S+")
 #: The end of a word, or one sign of a script without spaces.
 _UNIT_END = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|\w+")
 _NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
@@ -44,6 +53,7 @@ _NEXT = regex.compile(rf"[\s{regex.escape(OPENERS.replace('¿', '').replace('¡'
 _LAST_NUMBER = regex.compile(rf"{_NUMBER}$")
 _LAST_CJK = regex.compile(rf"{_CJK}{{1,2}}$")
 _LAST_WORD = regex.compile(r"(?:\p{L}[\p{L}\p{M}\u00ad\u200b\u2060]*['’.\-])*\p{L}[\p{L}\p{M}\u00ad\u200b\u2060]*$")
+_SIGNS = regex.compile(rf"{_CJK}+")
 _IS_CJK, _IS_GREEK = regex.compile(_CJK), regex.compile(r"\p{Greek}")
 _IS_WORDY = regex.compile(r"[\p{L}\p{N}\p{M}]")
 _BREAKS = regex.compile(r"\r\n?|[\n\v\f\x85\u2028\u2029]")
@@ -69,8 +79,11 @@ _FREQUENT_WORD = regex.compile(r"\b\L<words>\b", words=list(_LANGUAGES_OF))
 #: few and short; others are more often wrapped. Both are left to the model.
 HEADING_LINES, HEADING_CHARS = 4, 90
 #: Words, or signs of scripts without spaces, between two marks from which on the text there
-#: counts as unpunctuated: then each gap between its words may be a boundary.
+#: counts as unpunctuated: then a boundary in a gap between its words is likelier beforehand.
 UNMARKED_WORDS = 60
+#: The marks of any other gap between two words, and of a place beside a sign of Han or kana
+#: without white space.
+GAP, SIGN = "_", "^"
 #: Characters before a site in which its last token is looked for.
 _LOOK_BACK = 48
 
@@ -254,21 +267,25 @@ def _gap(text: str, end: int, p: int, remarks: list[tuple[int, int]]) -> str:
     return "lines" if breaks > 1 else "line" if breaks else "space" if gap else "none"
 
 
+def _remarks_from(text: str, at: int, starts: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """Brackets that follow at once, and where the text goes on."""
+    got = []
+    while True:
+        p = _SPACES.match(text, at).end()
+        if p not in starts:
+            return at, got
+        got.append((p, starts[p]))
+        at = starts[p]
+
+
 def sites(text: str) -> tuple[list[Site], list[tuple[int, int]], list[tuple[int, int]]]:
     """A text's sites in order, the quotes, and the remarks before its first word."""
-    brackets = spans(text, CLOSING_OF)
+    return _sites(text, spans(text, CLOSING_OF))
+
+
+def _sites(text: str, brackets: list[tuple[int, int]]) -> tuple[list[Site], list[tuple[int, int]], list[tuple[int, int]]]:
     quotes = spans(text, QUOTE_CLOSERS)
-    starts = {s: e for s, e in brackets}
-
-    def remarks_from(at: int) -> tuple[int, list[tuple[int, int]]]:
-        """Brackets that follow at once, and where the text goes on."""
-        got = []
-        while True:
-            p = _SPACES.match(text, at).end()
-            if p not in starts:
-                return at, got
-            got.append((p, starts[p]))
-            at = starts[p]
+    starts = dict(brackets)
 
     def labelled(bracket: tuple[int, int], at: int) -> bool:
         """Whether a mark that ends at ``at`` ends a bracket that is all a speaker says."""
@@ -285,7 +302,7 @@ def sites(text: str) -> tuple[list[Site], list[tuple[int, int]], list[tuple[int,
         return _SPACES.match(text).end() < start
 
     out: list[Site] = []
-    begin, opening = remarks_from(0)
+    begin, opening = _remarks_from(text, 0, starts)
     if _SPACES.match(text, begin).end() == len(text):
         opening = opening if len(opening) > 1 else []
     done = begin if opening else 0  # all before belongs to sites found so far
@@ -371,7 +388,7 @@ def sites(text: str) -> tuple[list[Site], list[tuple[int, int]], list[tuple[int,
         if text.startswith(" ", end) and text[end + 1 : end + 2] > " " and end + 1 not in starts:
             go, remarks, p, gap = end, [], end + 1, "space"
         else:
-            go, remarks = remarks_from(end)
+            go, remarks = _remarks_from(text, end, starts)
             p = _SPACES.match(text, go).end()
             gap = _gap(text, end, p, remarks)
         nxt = _next_token(text, go)
@@ -429,3 +446,124 @@ def _with_gaps(text: str, found: list[Site], brackets: list, quotes: list) -> li
             out.append(site)
             begin = max([site.at, *(r[1] for r in site.remarks)])
     return out
+
+
+@lru_cache(maxsize=200_000)
+def _ends_of(chunk: str) -> tuple[str | None, str | None]:
+    """By which tokens a run without white space begins and ends; None where a mark stands,
+    '' where the text around has to tell: at what opens or closes."""
+    first = chunk[0]
+    if first in _OPENING:
+        head = ""
+    elif first == "’" and len(chunk) > 1:  # of a word that lacks its first letters
+        head = _ends_of(chunk[1:])[0]
+    else:
+        head = _next_token(chunk, 0) if _is_word(first) or first in "¿¡" else None
+    bare = chunk.rstrip(_CLOSING)
+    if not bare:
+        return head, ""
+    return head, _last_token(chunk, len(chunk)) if _is_word(bare[-1]) else None
+
+
+def _is_word(c: str) -> bool:
+    """Whether a character belongs to a word, number or unit."""
+    return c.isalnum() or c in "%‰" or unicodedata.category(c)[0] != "P"
+
+
+def gaps(
+    text: str, found: list[Site], brackets: list[tuple[int, int]], quotes: list[tuple[int, int]], opening: list[tuple[int, int]]
+) -> tuple[str, list[int], list[Site]]:
+    """All gaps between words, and places beside signs, that are no sites yet, in two forms.
+
+    Plain ones are a string of tokens parted by one space, in which each two that follow one
+    another are those around a gap and an empty one parts others, with the characters from gap
+    to gap and those of each gap. The first token of a place without white space has SIGN before
+    it. Gaps before a quote or a remark are sites. Within brackets
+    nothing ends, and a mark that ends nothing, such as a comma, goes on with its sentence.
+    """
+    taken = {s.at for s in found} | {r[1] for s in found for r in s.remarks} | {r[1] for r in opening}
+    starts, closed = dict(brackets), {e for _, e in quotes}
+    straight = [i for i, c in enumerate(text) if c == '"'] if '"' in text else []
+    words: list[str] = []
+    steps: list[int] = []
+    more: list[Site] = []
+    cursor, tail, a, joined = 0, None, 0, None
+    for m in _CHUNK.finditer(text):
+        p, b = m.span()
+        chunk = m.group()
+        head, then = _ends_of(chunk)
+        if tail is None or head is None or a in taken or (brackets and span_at(brackets, a) >= 0):
+            joined = None
+        elif text[a:p] != " " and _BREAKS.search(text, a, p) and span_at(quotes, a) < 0:
+            joined = None
+        elif tail == "" and not (token := _before_closers(text, a, straight, closed)):
+            joined = None
+        else:
+            if tail == "":
+                tail, joined = token, None
+            if head:
+                if joined != tail:
+                    words += ("", tail) if words else (tail,)
+                words.append(head)
+                steps += (a - cursor, p - a)
+                cursor, joined = p, head
+            else:
+                joined = None
+                site = _gap_site(text, a, p, tail, starts, straight, closed)
+                if site:
+                    site.quote = span_at(quotes, a)
+                    more.append(site)
+                    taken.update(r[1] for r in site.remarks)
+        if not chunk.isascii():
+            for at, last, nxt in _beside_signs(chunk):
+                if not brackets or span_at(brackets, p + at) < 0:
+                    words += ("", SIGN + last, nxt) if words else (SIGN + last, nxt)
+                    steps += (p + at - cursor, 0)
+                    cursor, joined = p + at, None
+        tail, a = then, b
+    return " ".join(words), steps, more
+
+
+def _beside_signs(chunk: str) -> Iterator[tuple[int, str, str]]:
+    """Places between a sign of Han or kana and another or a word, with the tokens around."""
+    n = len(chunk)
+    for m in _SIGNS.finditer(chunk):
+        s, e = m.span()
+        if s and chunk[s - 1].isalnum():
+            yield s, _last_token(chunk, s), _next_token(chunk, s)
+        for i in range(s + 1, e):
+            yield i, chunk[max(s, i - 2) : i], chunk[i : min(e, i + 2)]
+        if e < n and chunk[e].isalnum() and not _IS_CJK.match(chunk, e):
+            yield e, chunk[max(s, e - 2) : e], _next_token(chunk, e)
+
+
+def _before_closers(text: str, at: int, straight: list[int], closed: set[int]) -> str:
+    """The token before quotes or brackets that stand by themselves and close; '' if they open or a mark is before."""
+    c = text[at - 1]
+    if c == "'" or c == '"' and bisect.bisect_left(straight, at) % 2 or c in QUOTE_CLOSERS and at not in closed:
+        return ""
+    part = text[max(0, at - _LOOK_BACK) : at].rstrip(_CLOSING + " \t\xa0")
+    return _last_token(part, len(part)) if part and _is_word(part[-1]) else ""
+
+
+def _gap_site(text: str, a: int, p: int, last: str, starts: dict[int, int], straight: list[int], closed: set[int]) -> Site | None:
+    """The gap before what opens, unless it closes something or a mark follows."""
+    go, remarks = _remarks_from(text, a, starts)
+    p = _SPACES.match(text, go).end()
+    c = text[p : p + 1]
+    if c == '"' and bisect.bisect_left(straight, p) % 2 or c in QUOTE_CLOSERS and p + 1 in closed:
+        return None
+    nxt = _next_token(text, go)
+    if nxt == END or not (_is_word(nxt[0]) or nxt in "¿¡"):
+        return None
+    return Site(a, last, GAP, False, "quote" if c in _OPENING else "space", nxt, remarks)
+
+
+def sites_and_gaps(text: str) -> tuple[list[Site], list[tuple[int, int]], list[tuple[int, int]], str, list[int]]:
+    """Sites, quotes and remarks as by ``sites``, and all other gaps as by ``gaps``."""
+    brackets = spans(text, CLOSING_OF)
+    found, quotes, opening = _sites(text, brackets)
+    words, steps, more = gaps(text, found, brackets, quotes, opening)
+    if more:
+        found = sorted([*found, *more], key=lambda s: s.at)
+    return found, quotes, opening, words, steps

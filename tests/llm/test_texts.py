@@ -2,11 +2,12 @@
 
 import os
 import random
+from itertools import accumulate
 
 import pytest
 
 from siltstone.llm import encoding, leakage, sentence_model, sentences
-from siltstone.llm.sentence_sites import sites, spans, CLOSING_OF
+from siltstone.llm.sentence_sites import sites, sites_and_gaps, spans, CLOSING_OF
 
 needs_vocabulary = pytest.mark.skipif(
     not os.path.exists(f"{encoding.VOCABULARIES}/{encoding.DEFAULT}.tiktoken"), reason="no vocabularies"
@@ -305,6 +306,60 @@ def test_text_without_marks(spark):
     assert [s.mark for s in sites("港口的船" * 30 + " " + "这里的路" * 5)[0]] == [" "]
 
 
+def test_gaps_of_short_stretches_are_decided_too(spark):
+    """A sentence or two without marks, far fewer words than make a long stretch, are parted by the model."""
+    latin = ["We paid the harbour dues to nobody.", "They moved old boats along quiet canals.", "Nobody spoke for the small mills there."]
+    han = ["我们反对这个计划。", "他们没有付钱。", "港口的船已经走了。"]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([*latin, "Why?", "We paid!", "They moved!", "Nobody spoke!"]) for _ in range(12)) for _ in range(300)]
+    texts += ["".join(rng.choice([*han, "我们反对！", "他们付钱！", "港口！"]) for _ in range(12)) for _ in range(300)]
+    texts += [f"议长 {rng.choice(han)}" for _ in range(60)]
+    m = sentences.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    bare = [t[:-1] for t in latin]
+    assert cut(m, " ".join(bare)) == bare
+    assert cut(m, " ".join([bare[0], latin[1], bare[2]])) == [bare[0], latin[1], bare[2]]
+    assert cut(m, f"“{bare[1]} {latin[0]}”") == [f"“{bare[1]}", f"{latin[0]}”"]
+    assert cut(m, f"He said: “{bare[1]} {latin[0]}”") == [f"He said: “{bare[1]} {latin[0]}”"]
+    assert cut(m, f"{bare[0]} (Laughter) {latin[1]}") == [bare[0], "(Laughter)", latin[1]]
+    assert cut(m, f"{latin[0][:20]} (Laughter) {latin[0][20:]}") == [f"{latin[0][:20]} (Laughter) {latin[0][20:]}"]
+    bare = [t[:-1] for t in han]
+    assert cut(m, "".join(bare)) == bare and cut(m, " ".join(bare)) == bare
+    assert all(cut(m, t) == [t] for t in [*latin, *han, "议长 " + han[0]])
+
+
+def gaps_of(text):
+    """(text before, token before, token behind) of each gap and place beside a sign."""
+    found, _, _, words, steps = sites_and_gaps(text)
+    split = words.split(" ")
+    pairs = [(a, b) for a, b in zip(split, split[1:]) if a and b]
+    ends = list(accumulate(steps))[::2]
+    assert 2 * len(pairs) == len(steps)
+    more = [(s.at, s.last, s.next) for s in found if s.mark == "_"]
+    return [(text[:at], a, b) for at, a, b in sorted([*((at, *p) for at, p in zip(ends, pairs)), *more])]
+
+
+def test_all_gaps_are_looked_at():
+    assert gaps_of("a bb, cc  dd. ee\nff") == [("a", "a", "bb"), ("a bb, cc", "cc", "dd")]
+    assert gaps_of("He said “no way” to us") == [
+        ("He", "He", "said"), ("He said", "said", "no"), ("He said “no", "no", "way"),
+        ("He said “no way”", "way", "to"), ("He said “no way” to", "to", "us"),
+    ]
+    assert [g[1:] for g in gaps_of('We (all of us) paid « bien » 5 % to "them" again')] == [
+        ("We", "paid"), ("paid", "bien"), ("bien", "0"), ("0", "%"), ("%", "to"), ("to", "them"), ("them", "again"),
+    ]
+    assert gaps_of("港口船 7人。走") == [("港", "^港", "口船"), ("港口", "^港口", "船"), ("港口船", "口船", "0han"), ("港口船 7", "^0", "人")]
+    many = gaps_of(" ".join(["one two three."] * 50))
+    assert len(many) == 100 and {g[1:] for g in many} == {("one", "two"), ("two", "three")}
+
+
+def test_counted_signs(spark):
+    df = spark.createDataFrame([(1, "港口船。港口 ^ab c"), (2, "no sign ^ here"), (3, None)], "doc_id int, text string")
+    found = sentences.found_sites(df)
+    got = {(r["last"], r["next"]): r["n"] for r in sentences.counted_signs(found).collect()}
+    assert got == {("港", "口船"): 1, ("港口", "船"): 1, ("港", "口"): 1}
+    assert [tuple(r) for r in sentences.counted_signs(found, "_").collect()] == [("港口", "^", 1)]
+
+
 def test_abbreviations_are_learned():
     """A short word that hardly ever stands without its mark, and after which sentences do not begin."""
     rows = [(("xq", ".", False, "space", "<Xx>"), 400.0), (("end", ".", False, "space", "The"), 400.0),
