@@ -65,6 +65,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_listings(spark: SparkSession) -> None:
+    """Let folders of thousands of files be listed by some tasks a core, not by one a file."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.set(name, min(int(spark.conf.get(name)), 4 * spark.sparkContext.defaultParallelism))
+
+
 def file_versions(df: DataFrame) -> list[tuple[str, int, int]]:
     """Path, bytes and time of change of each file that a frame reads."""
     out = []

@@ -37,7 +37,7 @@ from siltstone.errors import Corrupted, InvalidInput, StorageError
 from siltstone.functions.bytes import successor
 from siltstone.operators import changelog as cl
 from siltstone.operators.changelog import DELETE, MAX_FRAME, MAX_TRANSACTION, PUT, Bound
-from siltstone.sources.shared import age_seconds, create_text, list_dir, read_text, remove, replace_text
+from siltstone.sources.shared import age_seconds, create_text, few_listings, list_dir, read_text, remove, replace_text
 
 FORMAT = 2
 LOG_LEVEL = -1
@@ -111,6 +111,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+        few_listings(spark)
         self._lock = threading.RLock()
         self._queue: deque[tuple[list[Put | Delete], int, Future]] = deque()
         self._closed = False
@@ -247,7 +248,7 @@ class Store:
                 if r is None:
                     raise Corrupted(f"data file {f['path']} is missing")
                 for name, value in r.items():
-                    if f[name] != value:
+                    if f.get(name, value if name == "deletes" else None) != value:  # older entries do not count deletes
                         raise Corrupted(f"{f['path']}: {name} is {value!r}, the manifest says {f[name]!r}")
 
     def _described(self, folder: str, split: bool) -> list[dict]:
@@ -262,6 +263,7 @@ class Store:
             F.hex(F.max("key")).alias("largest_key"),
             F.coalesce(F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))), F.lit(0)).alias("bytes"),
             F.coalesce(F.max("lsn"), F.lit(0)).alias("max_lsn"),
+            F.count_if(F.col("op") == DELETE).alias("deletes"),
             cl.content_hash().alias("content"),
         )  # a row per file
         out = []
@@ -273,10 +275,15 @@ class Store:
         return sorted(out, key=lambda f: f["smallest_key"])
 
     def _options(self, level: int) -> dict:
-        """Parquet's settings: a Bloom filter on keys of its own size, and small pages."""
+        """Parquet's settings: a Bloom filter on keys of its own size, and small pages.
+
+        Tasks move their own files to their places. That some are there before the job
+        ends does no harm, as nobody reads them before the manifest names them.
+        """
+        moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
         if level == LOG_LEVEL:
-            return {}
-        return {
+            return moved
+        return moved | {
             "parquet.bloom.filter.enabled#key": "true",
             "parquet.bloom.filter.adaptive.enabled": "true",
             "parquet.bloom.filter.fpp#key": str(self.settings.bloom_false_positive_rate),
@@ -520,11 +527,31 @@ class Store:
         """The level to compact next: the deepest over its target, else a full level 0."""
         deepest = max([f["level"] for f in self.files], default=0)
         for n in range(deepest, 0, -1):
-            target = self.settings.level_base_bytes * self.settings.level_size_multiplier ** (n - 1)
-            if sum(f["bytes"] for f in self.level(n)) > target:
+            if sum(f["bytes"] for f in self.level(n)) > self._level_bytes(n):
                 return n
         return 0 if len(self.level(0)) > self.settings.max_level0_files else None
 
+    def _level_bytes(self, n: int) -> int:
+        """The bytes that a level below 0 may hold."""
+        return self.settings.level_base_bytes * self.settings.level_size_multiplier ** (n - 1)
+
+    def _seeds(self, n: int) -> set[int]:
+        """Files that a compaction of a level begins from: all of level 0, else the oldest.
+
+        Of a level over its bound these are as many as bring it within, so that the
+        merges do not grow with the files by which it is over.
+        """
+        own = sorted(self.level(n), key=lambda f: f["file_id"])
+        if n == 0:
+            return {f["file_id"] for f in own}
+        over, seeds = sum(f["bytes"] for f in own) - self._level_bytes(n), set()
+        for f in own:
+            if seeds and over <= 0:
+                break
+            seeds.add(f["file_id"])
+            over -= f["bytes"]
+        return seeds
+
     def compact(self) -> int:
         """Compact until no level is over its bound; the number of merges."""
         self._open()
@@ -535,16 +562,38 @@ class Store:
                 done += 1
         return done
 
+    def _hand_down(self, n: int, seeds: set[int]) -> set[int]:
+        """Move to the next level, by the manifest alone, the seeds that meet no file there.
+
+        A merge would write them again as they are: of a key they have one version, and
+        only those without deletes are moved. The files moved.
+        """
+        below = self.level(n + 1)
+        near = [
+            {"file_id": f["file_id"], "lo": f["smallest_key"], "hi": f["largest_key"]} for f in self.level(n) + below
+        ]
+        met = cl.closure(near, {f["file_id"] for f in below})
+        free = [f for f in self.level(n) if f["file_id"] in seeds - met and f.get("deletes") == 0]
+        if free:
+            self._publish(dict(self.manifest), [f | {"level": n + 1} for f in free], [])
+        return {f["file_id"] for f in free}
+
     def compact_level(self, n: int) -> None:
-        """Merge a level's oldest file, or all of level 0, with all it overlaps into the next.
+        """Merge a level's oldest files, or all of level 0, with all they overlap into the next.
 
-        One job writes all files of the merge and one describes them.
+        One job writes all files of the merge and one describes them. Files that need no
+        merge are handed down as they are.
         """
         with self._lock:
             own = self.level(n)
             if not own:
                 return
-            seeds = {f["file_id"] for f in own} if n == 0 else {min(f["file_id"] for f in own)}
+            seeds = self._seeds(n)
+            if n > 0:
+                seeds -= self._hand_down(n, seeds)
+                if not seeds:
+                    return
+                own = self.level(n)
             near = [
                 {"file_id": f["file_id"], "lo": f["smallest_key"], "hi": f["largest_key"]}
                 for f in own + self.level(n + 1)
