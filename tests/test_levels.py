@@ -3,6 +3,7 @@
 import pytest
 
 from siltstone.config import Settings
+from siltstone.operators.changelog import Bound
 from siltstone.sources.store import Delete, Put, Store
 
 #: Many small files, and levels that are over their bounds at once.
@@ -85,3 +86,18 @@ def test_entries_without_a_count_of_deletes_still_stand(spark, tmp_path):
     store.files[0]["bytes"] += 1
     with pytest.raises(Exception, match="bytes is"):
         store.verify()
+
+
+def test_deletes_of_a_prefix_over_a_full_level(spark, tmp_path):
+    """A range read after a table of deletes was written onto a level far over its bound."""
+    store = filled(spark, tmp_path, 800)
+    gone = spark.createDataFrame([(2, b"k%06d" % i, None) for i in range(200, 300)], "op int, key binary, value binary")
+    steps = store.manifest["version"]
+    store.write_at_once(gone)
+    assert store.maintenance_error is None and store.manifest["version"] - steps <= 4  # a file at a time: more than 30
+    store.flush()
+    store.compact_level(0)
+    again = Store.open(spark, store.root, TINY)
+    again.verify()
+    found = again.scan(Bound(b"k000150", False), Bound(b"k000350"))
+    assert [bytes(r["key"]) for r in found.collect()] == [b"k%06d" % i for i in range(151, 351) if not 200 <= i < 300]
