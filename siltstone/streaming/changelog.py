@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -45,31 +42,16 @@ def maintain(changes: DataFrame, table: PublishedTable, checkpoint: str) -> Stre
 def newest_versions(changes: DataFrame) -> DataFrame:
     """(key, lsn, op, value) whenever the holding version of a key changes, by keyed state.
 
-    The state of a key is the holding version, deletes included, so late and
-    repeated changes emit nothing. Use with output mode ``update``.
+    The state of a key is the holding version, deletes included, and the time of the
+    batch that brought it, so late and repeated changes emit nothing. Use with output
+    mode ``update``.
     """
-    fields = "key binary, lsn bigint, op int, value binary"
-
-    def rank(v: tuple) -> tuple:
-        return v[0], v[1], v[2] is not None, v[2] or b""
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        best = held
-        for pdf in pdfs:
-            top = pdf[pdf["lsn"] == pdf["lsn"].max()]
-            top = top[top["op"] == top["op"].max()]  # as a rule one row is left
-            values = [None if v is None else bytes(v) for v in top["value"]]
-            one = max(((int(top["lsn"].iat[0]), int(top["op"].iat[0]), v) for v in values), key=rank)
-            if best is None or rank(one) > rank(best):
-                best = one
-        if best != held:
-            state.update(best)
-            yield pd.DataFrame({"key": [key[0]], "lsn": [best[0]], "op": [best[1]], "value": [best[2]]})
-
     rows = changes.where(F.col("key").isNotNull() & F.col("lsn").isNotNull()).select(
         "key", "lsn", F.col("op").cast("int").alias("op"), "value"
     )
-    return rows.groupBy("key").applyInPandasWithState(
-        update, fields, "lsn bigint, op int, value binary", "update", "NoTimeout"
-    )
+    # the time of a batch is one and the same within it; of equal versions the earliest holds
+    since = -F.unix_micros(F.current_timestamp())
+    dated = rows.withColumn("since", since)
+    held = dated.groupBy("key").agg(F.max(F.struct("lsn", "op", "value", "since")).alias("held"))
+    fresh = held.where(F.col("held.since") == since)
+    return fresh.select("key", "held.lsn", "held.op", "held.value")
